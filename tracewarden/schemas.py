@@ -20,7 +20,17 @@ HasNumericPathSegment boolean, DepthOfPath int, UsesBase64Encoding boolean, Uses
 HasMultipleContentLength boolean, InvalidHTTPVersion boolean, NumHTTPHeaders int, TimeOfDayHour int,
 TimeOfDayDayOfWeek string
 """
-AUDIT_FLAT = T.StructType.fromDDL(" ".join(_FLAT.split()))
+_KINDS = {
+    "timestamp": T.TimestampType(), "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(),
+}
+
+
+def _columns(*specs: tuple[str, str]) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in specs])
+
+
+AUDIT_FLAT = _columns(*[tuple(field.split()) for field in _FLAT.replace("\n", " ").split(",")])
 FLAT_COLUMNS = AUDIT_FLAT.fieldNames()
 
 _HEADERS = (
@@ -36,7 +46,7 @@ _CALCULATED = (
     "invalid_http_version: boolean, num_http_headers: int, time_of_day_hour: int, time_of_day_day_of_week: string"
 )
 # ``query_ength`` is the spelling found in the logs; both spellings are read.
-AUDIT_NESTED = T.StructType.fromDDL(
+AUDIT_NESTED = (
     "timestamp timestamp, transaction_id string, client_ip string, client_port int, server_ip string, server_port int,"
     f"request struct<method: string, uri: string, path: string, query: string, protocol: string, headers: struct<{_HEADERS}>, body: string>,"
     "response struct<status_code: int, protocol: string, headers: map<string, array<string>>, body: string>,"
@@ -46,16 +56,16 @@ AUDIT_NESTED = T.StructType.fromDDL(
     f"calculated_fields struct<{_CALCULATED}>"
 )
 
-RULES = T.StructType.fromDDL(
+RULES = (
     "rule_id int, family string, phase int, pl int, chain_id int, chain_link int, chain_len int,"
     "collections array<string>, name_filter string, excluded array<struct<collection: string, name: string>>,"
     "is_count boolean, operator string, negate boolean, argument string, transforms array<string>,"
     "multi_match boolean, capture boolean, severity string, score_var string, direction string, tags array<string>,"
     "msg string, ver string"
 )
-PHRASES = T.StructType.fromDDL("list_name string, phrase string")
-EXCLUSIONS = T.StructType.fromDDL("scope string, rule_id int, tag string, collection string, name string")
-CASES = T.StructType.fromDDL(
+PHRASES = "list_name string, phrase string"
+EXCLUSIONS = "scope string, rule_id int, tag string, collection string, name string"
+CASES = (
     "rule_id int, test_id int, stage int, desc string, method string, uri string, version string,"
     "headers map<string, string>, data string, expect_ids array<int>, no_expect_ids array<int>, expect_status int"
 )
@@ -67,10 +77,6 @@ PERCENTILES = {
 }
 
 
-def _columns(*specs: tuple[str, str]) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in specs))
-
-
 TRAFFIC_STATS = _columns(
     ("Type", "string"), ("Name", "string"), ("Request Count", "bigint"), ("Failure Count", "bigint"),
     ("Median Response Time", "double"), ("Average Response Time", "double"), ("Min Response Time", "double"),
