@@ -71,12 +71,23 @@ def le(v: Column, arg: str) -> Column:
 
 
 def validate_byte_range(v: Column, arg: str) -> Column:
-    """True when a byte lies outside the listed ranges (``9,10,32-126``)."""
-    spans = []
+    """True when a byte lies outside the listed ranges (``9,10,32-126``).
+
+    Bytes of 128 and up are those of characters beyond ASCII, so ranges that take all or none of them are tested on the
+    text itself; other ranges are tested byte by byte.
+    """
+    allowed = set()
     for part in arg.split(","):
         low, _, high = part.strip().partition("-")
-        spans.append(rf"\x{int(low):02x}-\x{int(high or low):02x}")
-    return F.decode(v.cast("binary"), "ISO-8859-1").rlike(f"(?s)[^{''.join(spans)}]")
+        allowed.update(range(int(low), int(high or low) + 1))
+    upper = allowed & set(range(128, 256))
+    spans = "".join(rf"\x{n:02x}" for n in sorted(allowed - upper))
+    if len(upper) == 128:
+        return v.rlike(rf"[^{spans}\x{{80}}-\x{{10FFFF}}]")
+    if not upper:
+        return v.rlike(f"[^{spans}]")
+    spans += "".join(rf"\x{n:02x}" for n in sorted(upper))
+    return F.decode(v.cast("binary"), "ISO-8859-1").rlike(f"[^{spans}]")
 
 
 def validate_url_encoding(v: Column, _: str) -> Column:

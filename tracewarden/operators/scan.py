@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tracewarden.config import ScanConfig
@@ -181,25 +181,29 @@ def scan_requests(requests: DataFrame, rules: DataFrame, phrases: DataFrame | No
 
 
 def complete_chains(matches: DataFrame, rules: DataFrame, key: str = "req_id") -> DataFrame:
-    """Keep plain matches, and matches of the last link of chains whose links all matched in the request."""
-    chains = [
-        r["rule_id"]
-        for r in bounded_rows(rules.filter(F.col("chain_len") > 1).select("rule_id").distinct(), COMPILED_RULES, "chains")
-    ]
-    if not chains:
+    """Keep plain matches, and matches of the last link of chains whose links all matched in the request.
+
+    The scan is read once: matches are brought together by request, where the seen links of each rule are a bit mask.
+    Aggregations by request that follow reuse this partitioning.
+    """
+    lengths = {
+        r["rule_id"]: r["chain_len"]
+        for r in bounded_rows(
+            rules.filter(F.col("chain_len") > 1).select("rule_id", "chain_len").distinct(), COMPILED_RULES, "chains"
+        )
+    }
+    if not lengths:
         return matches
-    lengths = rules.filter(F.col("chain_len") > 1).select("rule_id", "chain_len").distinct()
-    is_link = F.col("rule_id").isin(*chains)
-    links = matches.filter(is_link)
-    seen = (
-        links.groupBy(key, "rule_id")
-        .agg(F.bit_or(F.shiftleft(F.lit(1), F.col("chain_link") - 1)).alias("seen"))
-        .join(F.broadcast(lengths), "rule_id")
-        .filter(F.col("seen") == F.shiftleft(F.lit(1), F.col("chain_len")) - 1)
-        .select(key, "rule_id", "chain_len")
+    length = F.coalesce(*[F.when(F.col("rule_id") == rule_id, n) for rule_id, n in lengths.items()], F.lit(0))
+    in_request = Window.partitionBy(key, "rule_id")
+    seen = F.bit_or(F.expr("shiftleft(1, greatest(chain_link - 1, 0))")).over(in_request)
+    return (
+        matches.repartition(key)
+        .withColumn("__len", length)
+        .withColumn("__seen", seen)
+        .filter((F.col("__len") == 0) | ((F.col("__seen") == F.expr("shiftleft(1, __len) - 1")) & (F.col("chain_link") == F.col("__len"))))
+        .drop("__len", "__seen")
     )
-    done = links.join(seen, [key, "rule_id"]).filter(F.col("chain_link") == F.col("chain_len")).drop("chain_len")
-    return matches.filter(~is_link).unionByName(done.select(*matches.columns))
 
 
 def capture_chain(first: DataFrame, second: DataFrame, condition: Column, key: str = "req_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions.features import header_values
-from tracewarden.functions.transforms import url_decode
+from tracewarden.functions.transforms import apply_chain, url_decode
 
 _EMPTY = "cast(array() as array<struct<collection: string, name: string, value: string>>)"
 
@@ -142,6 +142,11 @@ def explode_targets(requests: DataFrame, collections: list[str] | None = None, k
     )
 
 
+def normalise_targets(targets: DataFrame, chain: list[str], out: str = "normalised") -> DataFrame:
+    """Add the value after a transform chain; narrow, so no value is moved to be normalised."""
+    return targets.withColumn(out, apply_chain(F.col("value"), chain))
+
+
 def count_targets(targets: DataFrame, keys: DataFrame, collection: str, name: str | None = None, key: str = "req_id") -> DataFrame:
     """``&COLLECTION``: values per request, zero for requests that have none."""
     chosen = targets.filter(F.col("collection") == collection)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.operators.requests import header_map
+from tracewarden.session import scratch_path
 
 # Attack values put into the traffic, one per slot; ` stands for a quote and ^ for a backslash.
 ATTACKS = [
@@ -51,7 +52,8 @@ _ESCAPES = [("%", "%25"), ("<", "%3C"), (">", "%3E"), (" ", "+"), ("&", "%26"),
 
 
 def _text(value: str) -> str:
-    return f"replace(replace('{value}', '`', chr(39)), '^', chr(92))"
+    plain = "`" not in value and "^" not in value
+    return f"'{value}'" if plain else f"replace(replace('{value}', '`', chr(39)), '^', chr(92))"
 
 
 def _pick(index: str, values: list[str], default: str) -> str:
@@ -71,6 +73,7 @@ SELECT event_id, ts, user_id, event_type, value, props,
   {_pick('event_id % 40', ATTACKS, "concat('item ', CAST(user_id AS VARCHAR(20)))")} AS payload
 FROM events
 """
+_CODED = f"SELECT raw.*, {_encoded('payload')} AS coded FROM ({_RAW}) raw"
 
 REQUESTS = f"""
 SELECT event_id AS req_id, ts, user_id, payload,
@@ -86,8 +89,8 @@ SELECT event_id AS req_id, ts, user_id, payload,
        WHEN event_id % 3 = 0 THEN concat('/', event_type, '/', CAST(user_id AS VARCHAR(20)), '/')
        ELSE concat('/api/', event_type, '/v', CAST(k AS VARCHAR(20)), '/list') END AS path,
   CASE WHEN event_id % 100 = 6 OR event_id % 13 = 4 THEN ''
-       WHEN event_id % 17 = 3 THEN concat('id=', CAST(k AS VARCHAR(20)), '&id=', CAST(user_id AS VARCHAR(20)), '&q=', {_encoded('payload')})
-       WHEN event_id % 29 = 8 THEN concat('bad=%zz&q=', {_encoded('payload')})
+       WHEN event_id % 17 = 3 THEN concat('id=', CAST(k AS VARCHAR(20)), '&id=', CAST(user_id AS VARCHAR(20)), '&q=', coded)
+       WHEN event_id % 29 = 8 THEN concat('bad=%zz&q=', coded)
        WHEN event_id % 31 = 9 THEN concat('sessionid=', CAST(k AS VARCHAR(20)), '&page=2')
        ELSE concat('q=', {_encoded('payload')}, '&page=', CAST(k AS VARCHAR(20))) END AS query,
   CASE WHEN event_id % 60 = 7 THEN 'HTTP/9.9' WHEN event_id % 6 = 1 THEN 'HTTP/2.0' WHEN event_id % 6 = 2 THEN 'HTTP/1.0'
@@ -108,7 +111,7 @@ SELECT event_id AS req_id, ts, user_id, payload,
   CASE WHEN event_id % 53 = 0 THEN 'bytes=9-1' WHEN event_id % 53 = 1 THEN 'bytes=1-2,3-4,5-6,7-8,9-10,11-12' ELSE NULL END AS range_header,
   CASE WHEN event_id % 43 = 0 THEN 'GET' ELSE NULL END AS method_override,
   CASE event_id % 5 WHEN 0 THEN props
-       WHEN 1 THEN concat('user=', CAST(user_id AS VARCHAR(20)), '&note=', {_encoded('payload')}, '&empty=')
+       WHEN 1 THEN concat('user=', CAST(user_id AS VARCHAR(20)), '&note=', coded, '&empty=')
        WHEN 2 THEN concat('<?xml version="1.0"?><r><a>', CAST(k AS VARCHAR(20)), '</a><b>', event_type, '</b></r>')
        WHEN 4 THEN concat('--x1 ', event_type, ' value ', CAST(user_id AS VARCHAR(20)), ' {{n: ', CAST(k AS VARCHAR(20)), '}}')
        ELSE '' END AS body,
@@ -118,7 +121,7 @@ SELECT event_id AS req_id, ts, user_id, payload,
   CASE WHEN event_id % 40 < {len(ATTACKS)} THEN 'malicious' ELSE 'benign' END AS label,
   CASE WHEN event_id % 40 >= {len(ATTACKS)} THEN 'none' WHEN event_id % 40 < 2 THEN 'sqli' WHEN event_id % 40 < 4 THEN 'xss'
        WHEN event_id % 40 < 6 THEN 'dta' ELSE 'enum' END AS attack_type
-FROM ({_RAW}) raw
+FROM ({_CODED}) base
 """.replace("{{", "{").replace("}}", "}")
 
 BODIES = """
@@ -178,8 +181,23 @@ def _one(col: str) -> Column:
     return F.when(F.col(col).isNotNull(), F.array(F.col(col)))
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``requests`` view with its header columns gathered into the header map the operators read."""
+    """The ``requests`` view as a stored request table, the form the operators are meant to read.
+
+    It is written once per session and folder, so that queries start from plain columns and prune what they do not use.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "requests")
+        _request_rows(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def _request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(view(spark, sf_dir, "requests"))
     lengths = F.filter(F.array("content_length", "content_length_2"), lambda v: v.isNotNull())
     headers = header_map(
