@@ -19,33 +19,38 @@ def shuffle_key(key: Column, seed: int) -> Column:
 
 
 def rank_by_hash(df: DataFrame, group: str, order: str, hex_digits: int = 4) -> DataFrame:
-    """Add ``rank`` (1…) within ``group`` by a hex text ``order``; buckets are its first digits."""
+    """Add ``rank`` (1…) and ``group_size`` within ``group`` by a hex text ``order``; buckets are its first digits."""
     df = df.withColumn("__bucket", F.substring(order, 1, hex_digits))
     counts = df.groupBy(group, "__bucket").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    in_group = Window.partitionBy(group)
+    earlier = in_group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        F.col(group), "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
+        F.col(group).alias("__group"),
+        F.col("__bucket").alias("__b"),
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__n").over(in_group).alias("group_size"),
     )
     within = Window.partitionBy(group, "__bucket").orderBy(order)
     numbered = df.withColumn("__in_bucket", F.row_number().over(within))
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__bucket") == F.col("__b"))
     return (
-        numbered.join(offsets, [group, "__bucket"])
+        numbered.join(offsets, same)
         .withColumn("rank", (F.col("__before") + F.col("__in_bucket")).cast("long"))
-        .drop("__bucket", "__before", "__in_bucket")
+        .drop("__bucket", "__before", "__in_bucket", "__group", "__b")
     )
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: of every label the first ``round(n * test_size)`` rows in shuffled order."""
     ranked = rank_by_hash(df.withColumn("__order", shuffle_key(F.col(key), seed)), label, "__order")
-    sizes = df.groupBy(label).agg(F.round(F.count("*") * F.lit(test_size)).cast("long").alias("__test"))
-    return ranked.join(sizes, label).withColumn("is_test", F.col("rank") <= F.col("__test")).drop("__order", "__test", "rank")
+    held_out = F.round(F.col("group_size") * F.lit(test_size))
+    return ranked.withColumn("is_test", F.col("rank") <= held_out).drop("__order", "rank", "group_size")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` (0…k-1), balanced within every label."""
     ranked = rank_by_hash(df.withColumn("__order", shuffle_key(F.col(key), seed)), label, "__order")
-    return ranked.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(k)).cast("int")).drop("__order", "rank")
+    return ranked.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(k)).cast("int")).drop("__order", "rank", "group_size")
 
 
 def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:

@@ -189,12 +189,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     It is written once per session and folder, so that queries start from plain columns and prune what they do not use.
     """
+    return spark.read.parquet(stored_path(spark, sf_dir))
+
+
+def stored_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = scratch_path(spark, "requests")
         _request_rows(spark, sf_dir).write.parquet(path)
         _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    return _WRITTEN[key]
 
 
 def _request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,5 @@
+"""Stored models (re-exported beside the other readers and writers)."""
+
+from tracewarden.operators.models import load_model, save_model
+
+__all__ = ["load_model", "save_model"]
