@@ -130,12 +130,18 @@ def categories(df: DataFrame, column: str) -> list[str]:
 
 
 def one_hot_stages(df: DataFrame, column: str, out: str) -> list:
-    """Known categories become unit vectors, an unknown one all zeros."""
+    """Known categories become unit vectors in sorted order, an unknown one all zeros.
+
+    The indexer keeps one extra index for unknown values; as the last one the encoder drops it.
+    """
     indexer = StringIndexerModel.from_labels(categories(df, column), column, f"{out}_index", handleInvalid="keep")
-    width = len(indexer.labels)
-    template = df.sparkSession.createDataFrame([(float(i),) for i in range(width + 1)], f"{out}_index double")
-    encoder = OneHotEncoder(inputCols=[f"{out}_index"], outputCols=[out], dropLast=True, handleInvalid="keep")
-    return [indexer, SQLTransformer(statement=f"SELECT *, least({out}_index, {float(width)}) AS {out}_i FROM __THIS__"), encoder.fit(template)]
+    indexes = df.sparkSession.createDataFrame([(float(i),) for i in range(len(indexer.labels) + 1)], f"{out}_index double")
+    encoder = OneHotEncoder(inputCols=[f"{out}_index"], outputCols=[out], dropLast=True)
+    return [indexer, encoder.fit(indexes)]
+
+
+def one_hot_model(df: DataFrame, column: str, out: str) -> PipelineModel:
+    return PipelineModel(one_hot_stages(df, column, out))
 
 
 @dataclass
