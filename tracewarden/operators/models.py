@@ -27,7 +27,7 @@ def _svm(p: dict) -> Estimator:
     reg = 1.0 / (float(p.get("C", 1.0)) * max(int(p.get("n_rows", 1)), 1))
     svm = LinearSVC(regParam=reg, maxIter=int(p.get("max_iter", 100)), predictionCol="svm_prediction")
     margin = VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1])
-    platt = LogisticRegression(featuresCol="margin", rawPredictionCol="platt_raw", probabilityCol="probability", predictionCol="prediction")
+    platt = LogisticRegression(featuresCol="margin", rawPredictionCol="platt_raw", probabilityCol="probability", predictionCol="prediction", maxIter=50, tol=1e-4)
     return Pipeline(stages=[svm, margin, platt])
 
 
@@ -90,7 +90,7 @@ def f1_evaluator() -> MulticlassClassificationEvaluator:
 def _search(train: DataFrame, kind: str, candidates: list[dict], fixed: dict, fold_col: str, parallelism: int) -> tuple[dict, CrossValidatorModel]:
     """Cross-validate whole estimators: the pipeline's stages are the parameter that varies."""
     n_folds = train.agg(F.max(fold_col)).first()[0] + 1
-    holder = Pipeline()
+    holder = Pipeline(stages=[])
     maps = [{holder.stages: [get_model(kind, {**fixed, **c})]} for c in candidates]
     search = CrossValidator(
         estimator=holder, estimatorParamMaps=maps, evaluator=f1_evaluator(), numFolds=n_folds, foldCol=fold_col, parallelism=parallelism

@@ -34,18 +34,21 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body (or a lambda in it) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams_of(char_array: Column, low: int, high: int) -> Column:
     """All n-grams of a character array; each is put together from array positions, so the cost is linear."""
 
-    def of_size(n: int) -> Column:
-        starts = F.slice(char_array, F.lit(1), F.greatest(F.size(char_array) - (n - 1), F.lit(0)))
+    def of_size(cs: Column, n: int) -> Column:
+        starts = F.slice(cs, F.lit(1), F.greatest(F.size(cs) - (n - 1), F.lit(0)))
         if n == 1:
             return starts
-        return F.transform(
-            starts, lambda c, i: F.concat(c, *[F.get(char_array, i + offset) for offset in range(1, n)])
-        )
+        return F.transform(starts, lambda c, i: F.concat(c, *[F.get(cs, i + offset) for offset in range(1, n)]))
 
-    return F.flatten(F.array(*[of_size(n) for n in range(low, high + 1)])) if high > low else of_size(low)
+    return bind(char_array, lambda cs: F.flatten(F.array(*[of_size(cs, n) for n in range(low, high + 1)])))
 
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
@@ -58,10 +61,8 @@ def words(text: Column) -> Column:
 
 
 def with_terms(df: DataFrame, text: str, out: str, low: int, high: int, analyzer: str = "char") -> DataFrame:
-    """Add the term array; the character array is a column of its own so that it is split once."""
-    if analyzer == "word":
-        return df.withColumn(out, words(F.col(text)))
-    return df.withColumn("__chars", chars(squeezed(F.col(text)))).withColumn(out, ngrams_of(F.col("__chars"), low, high)).drop("__chars")
+    """Add the term array of a text column."""
+    return df.withColumn(out, words(F.col(text)) if analyzer == "word" else char_ngrams(F.col(text), low, high))
 
 
 def top_terms(df: DataFrame, terms: str, k: int) -> DataFrame:
@@ -93,12 +94,12 @@ class TfIdf:
         return [counts, weighted, Normalizer(p=2.0, inputCol=f"{out}_raw", outputCol=out)]
 
 
-def tfidf_fit(df: DataFrame, terms: str, max_terms: int = 5000) -> TfIdf:
-    """Vocabulary of the most frequent terms and smooth idf ``ln((1 + n) / (1 + df)) + 1``."""
+def tfidf_fit(df: DataFrame, terms: str, max_terms: int = 5000, n: int | None = None) -> TfIdf:
+    """Vocabulary of the most frequent terms and smooth idf ``ln((1 + n) / (1 + df)) + 1`` over ``n`` rows."""
     vocabulary = bounded_rows(top_terms(df, terms, max_terms), max_terms, "vocabulary")
     frame = df.sparkSession.createDataFrame([(r["term"],) for r in vocabulary], "term string")
     freq = {r["term"]: r["df"] for r in document_frequencies(df, terms, frame).collect()}
-    n = df.count()
+    n = df.count() if n is None else n
     ordered = sorted(freq)
     return TfIdf(ordered, [float(np.log((1 + n) / (1 + freq[t])) + 1) for t in ordered])
 
@@ -214,10 +215,11 @@ def feature_pipeline(train: DataFrame, config: FeatureConfig, out: str = "featur
     """The fitted sparse preprocessor: TF-IDF per text column, one-hot categories, scaled numbers, one vector."""
     filled = fill_defaults(train, list(config.numeric), list(config.text), list(config.categorical))
     stages, parts = [SQLTransformer(statement=_fill_statement(config))], []
+    n = filled.count()
     for column in config.text:
         low, high = config.ngrams_for(column)
         tokens = with_terms(filled, column, "__terms", low, high)
-        model = tfidf_fit(tokens.select("__terms"), "__terms", config.terms_for(column))
+        model = tfidf_fit(tokens.select("__terms"), "__terms", config.terms_for(column), n)
         if not model.terms:
             continue
         stages.append(SQLTransformer(statement=_ngram_statement(column, f"{column}_vec_terms", low, high)))
@@ -242,16 +244,14 @@ def _fill_statement(config: FeatureConfig) -> str:
 
 def _ngram_statement(column: str, out: str, low: int, high: int) -> str:
     """SQL form of ``char_ngrams``, so that the fitted pipeline can be stored and loaded."""
-    text = f"regexp_replace(lower({column}), '[[:space:]]{{2,}}', ' ')".replace("[[:space:]]", "[ \\\\t\\\\n\\\\r\\\\f\\\\x0B]")
-    cs = f"{out}_chars"
+    blanks = "[ \\\\t\\\\n\\\\r\\\\f\\\\x0B]{2,}"
+    cs = f"filter(split(regexp_replace(lower({column}), '{blanks}', ' '), ''), c -> c <> '')"
     arrays = []
     for n in range(low, high + 1):
-        starts = f"slice({cs}, 1, greatest(size({cs}) - {n - 1}, 0))"
-        tail = "".join(f", get({cs}, i + {o})" for o in range(1, n))
+        starts = f"slice(cs, 1, greatest(size(cs) - {n - 1}, 0))"
+        tail = "".join(f", get(cs, i + {o})" for o in range(1, n))
         arrays.append(starts if n == 1 else f"transform({starts}, (c, i) -> concat(c{tail}))")
-    joined = f"flatten(array({', '.join(arrays)}))"
-    inner = f"SELECT *, filter(split({text}, ''), c -> c <> '') AS {cs} FROM __THIS__"
-    return f"SELECT * EXCEPT ({cs}), {joined} AS {out} FROM ({inner})"
+    return f"SELECT *, get(transform(array({cs}), cs -> flatten(array({', '.join(arrays)}))), 0) AS {out} FROM __THIS__"
 
 
 def assemble(df: DataFrame, config: FeatureConfig, key: str) -> tuple[DataFrame, object]:
