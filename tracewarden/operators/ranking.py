@@ -61,10 +61,10 @@ def exact_percentiles(counts: DataFrame, groups: list[str], probabilities: dict[
     """Discrete percentiles per group from value counts (``__value``, ``__n``).
 
     Percentile p is the smallest value with at least ``ceil(p * n)`` values at or below it. A histogram over logarithmic
-    bins tells which bin holds each rank; only those bins are looked at value by value.
+    bins (4096 per octave) tells which bin holds each rank; only those bins are looked at value by value.
     """
     value = F.col("__value")
-    bin_of = F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * 64).cast("long")
+    bin_of = F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * 4096).cast("long")
     binned = counts.withColumn("__bin", bin_of)
     hist = binned.groupBy(*groups, "__bin").agg(F.sum("__n").alias("__bin_n"))
     by_bin = Window.partitionBy(*groups).orderBy("__bin")

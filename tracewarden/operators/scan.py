@@ -21,6 +21,8 @@ from tracewarden.operators.targets import explode_targets
 from tracewarden.session import bounded_rows
 
 COMPILED_RULES = 2000
+BROADCAST_RULES = 200_000
+RULE_SALTS = 64
 PHRASE_ROWS = 20000
 
 
@@ -56,12 +58,11 @@ def rule_code(rule_id: int, link: int | None) -> int:
     return rule_id * 100 + (link or 0)
 
 
-def _in_scope(rule: Row) -> Column:
-    scope = F.col("collection").isin(*rule["collections"])
-    if rule["name_filter"]:
-        scope = scope & F.col("name").rlike(rule["name_filter"])
+def _in_scope(rule: Row) -> list[Column]:
+    """Conditions on the target's name; the collection is settled by the dispatch."""
+    scope = [F.col("name").rlike(rule["name_filter"])] if rule["name_filter"] else []
     for out in rule["excluded"] or ():
-        scope = scope & ~((F.col("collection") == out["collection"]) & F.col("name").rlike(out["name"]))
+        scope.append(~((F.col("collection") == out["collection"]) & F.col("name").rlike(out["name"])))
     return scope
 
 
@@ -94,10 +95,19 @@ def compile_scan(targets: DataFrame, rules: list[Row], phrases: dict[str, list[s
             for chain in _chains_of(rule)
         ]
         code = F.lit(rule_code(rule["rule_id"], rule["chain_link"])).cast("long")
-        hits.append(F.when(_in_scope(rule) & reduce(lambda a, b: a | b, tests), code))
-    return prepared.select(
-        key, "collection", "name", "value", F.explode(F.array_compact(F.array(*hits))).alias("code")
-    ).select(
+        conditions = [*_in_scope(rule), reduce(lambda a, b: a | b, tests)]
+        hits.append(F.when(reduce(lambda a, b: a & b, conditions), code))
+    # a target is tested against the rules of its own collection only; collections with the same rules share an array
+    by_rules: dict[tuple[int, ...], list[str]] = {}
+    for name in used:
+        by_rules.setdefault(tuple(i for i, rule in enumerate(rules) if name in rule["collections"]), []).append(name)
+    codes = F.coalesce(
+        *[
+            F.when(F.col("collection").isin(*names), F.array_compact(F.array(*[hits[i] for i in group])))
+            for group, names in by_rules.items()
+        ]
+    )
+    return prepared.select(key, "collection", "name", "value", F.explode(codes).alias("code")).select(
         key,
         F.floor(F.col("code") / 100).cast("int").alias("rule_id"),
         F.pmod("code", F.lit(100)).cast("int").alias("chain_link"),
@@ -111,10 +121,16 @@ def _joined_scan(targets: DataFrame, rules: DataFrame, phrases: dict[str, list[s
     """Scan with the rules as a table: one row per rule and collection, the pattern a column.
 
     Operators other than regular expressions are few kinds, so they become regular expressions or comparisons on the
-    argument column. Transform chains are compiled, one projection per chain in use.
+    argument column. Transform chains are compiled, one projection per chain in use. The rules are broadcast while their
+    number is bounded; beyond that both sides are spread over salts, because there are only a few collections to join on.
     """
     chains = [tuple(r["transforms"] or ()) for r in bounded_rows(rules.select("transforms").distinct(), 500, "chains")]
     per_rule = rules.withColumn("collection", F.explode("collections"))
+    small = len(rules.select("rule_id").limit(BROADCAST_RULES + 1).collect()) <= BROADCAST_RULES
+    keys = ["collection"] if small else ["collection", "__salt"]
+    if not small:
+        per_rule = per_rule.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
+        targets = targets.withColumn("__salt", F.pmod(F.xxhash64(key, "collection", "name", "value"), F.lit(RULE_SALTS)).cast("int"))
     v, arg = F.col("value_n"), F.col("argument")
     number = F.coalesce(v.try_cast("long"), F.lit(0))
     limit = arg.try_cast("long")
@@ -145,7 +161,7 @@ def _joined_scan(targets: DataFrame, rules: DataFrame, phrases: dict[str, list[s
     for chain in chains:
         some = per_rule.filter(F.coalesce("transforms", F.array().cast("array<string>")) == F.array(*[F.lit(t) for t in chain]).cast("array<string>"))
         values = targets.withColumn("value_n", N.apply_chain(F.col("value"), chain))
-        parts.append(values.join(some, "collection").filter(named & kept & hit))
+        parts.append(values.join(F.broadcast(some) if small else some, keys).filter(named & kept & hit))
     link = F.coalesce("chain_link", F.lit(0)).alias("chain_link")
     return reduce(lambda a, b: a.unionByName(b), parts).select(key, "rule_id", link, "collection", "name", "value")
 

@@ -28,18 +28,12 @@ def traffic_summary(events: DataFrame) -> DataFrame:
         F.min("latency_ms").alias("Min Response Time"),
         F.max("latency_ms").alias("Max Response Time"),
         F.avg("size").alias("Average Content Size"),
-        F.min("ts").alias("__first"),
-        F.max("ts").alias("__last"),
     )
     totals = totals.filter(F.col("__g").isin(0, 3)).withColumn(
         "Name", F.when(F.col("__g") == 3, "Aggregated").otherwise(F.col("Name"))
     )
-    # the report has one row per endpoint, so this window is small
-    whole = Window.partitionBy()
-    span = F.greatest(
-        (F.unix_micros(F.max(F.col("__last").cast("timestamp")).over(whole)) - F.unix_micros(F.min(F.col("__first").cast("timestamp")).over(whole))) / 1e6,
-        F.lit(1.0),
-    )
+    first, last = (F.unix_micros(f(F.col("ts").cast("timestamp"))) for f in (F.min, F.max))
+    span = rows.agg(F.greatest((last - first) / 1e6, F.lit(1.0))).scalar()
     totals = totals.withColumns(
         {"Requests/s": F.col("Request Count") / span, "Failures/s": F.col("Failure Count") / span}
     )
