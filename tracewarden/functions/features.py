@@ -5,7 +5,7 @@ Lengths are bytes; character counts are code points. ``content`` is path + query
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -287,6 +287,12 @@ def _feature_columns(text: Column, lowered: Column, ctype: Column) -> dict:
 FEATURES = list(_feature_columns(None, None, None))
 
 
+@cache
+def _feature(name: str) -> Column:
+    """Expression of one feature over the shared columns; it does not depend on a session, so it is built once."""
+    return _feature_columns(F.col("__content"), F.col("__lower"), F.col("__type"))[name]()
+
+
 def featurise(df, only: list[str] | None = None):
     """Add the 24 features (or those named) to a request table.
 
@@ -294,9 +300,7 @@ def featurise(df, only: list[str] | None = None):
     then what several features share (its lower case, the content type), then the features. Each shared value is built
     once per row.
     """
-    text, lowered, ctype = F.col("__content"), F.col("__lower"), F.col("__type")
     shared = df.withColumn("__content", content(F.col("path"), F.col("query"), F.col("body"))).withColumns(
-        {"__lower": F.lower(text), "__type": header(F.col("headers"), "Content-Type")}
+        {"__lower": F.lower("__content"), "__type": header(F.col("headers"), "Content-Type")}
     )
-    columns = _feature_columns(text, lowered, ctype)
-    return shared.withColumns({n: columns[n]() for n in only or FEATURES}).drop("__content", "__lower", "__type")
+    return shared.withColumns({n: _feature(n) for n in only or FEATURES}).drop("__content", "__lower", "__type")

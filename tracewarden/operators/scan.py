@@ -8,7 +8,7 @@ large to compile go through an equi join on the collection with the pattern as a
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -70,6 +70,11 @@ def _chains_of(rule: Row) -> list[tuple[str, ...]]:
     return N.chain_prefixes(rule["transforms"]) if rule["multi_match"] else [N.effective_chain(rule["transforms"])]
 
 
+@cache
+def _normalised(column: str, chain: tuple[str, ...]) -> Column:
+    return N.apply_chain(F.col(column), chain)
+
+
 def compile_scan(targets: DataFrame, rules: list[Row], phrases: dict[str, list[str]], key: str = "req_id") -> DataFrame:
     """``rule_scan`` with the rules already on the driver; used by the streaming form as well."""
     scanned: dict[tuple[str, ...], set[str]] = {}
@@ -82,12 +87,12 @@ def compile_scan(targets: DataFrame, rules: list[Row], phrases: dict[str, list[s
     prepared = targets.filter(F.col("collection").isin(*used))
     for chain in sorted(scanned, key=len):
         wanted = F.col("collection").isin(*sorted(scanned[chain]))
-        base, rest = F.col("value"), chain
+        base, rest = "value", chain
         for cut in range(len(chain) - 1, 0, -1):
             if chain[:cut] in columns and scanned[chain] <= scanned[chain[:cut]]:
-                base, rest = F.col(columns[chain[:cut]]), chain[cut:]
+                base, rest = columns[chain[:cut]], chain[cut:]
                 break
-        prepared = prepared.withColumn(columns[chain], F.when(wanted, N.apply_chain(base, rest)))
+        prepared = prepared.withColumn(columns[chain], F.when(wanted, _normalised(base, rest)))
     hits = []
     for rule in rules:
         tests = [
@@ -191,9 +196,15 @@ def scan_requests(requests: DataFrame, rules: DataFrame, phrases: DataFrame | No
     gated = response_gate(scan_gate(requests, config, key), config)
     if config.skip_response:
         chosen = chosen.filter(F.col("direction") != "outbound")
-    wanted = [r[0] for r in bounded_rows(chosen.select(F.explode("collections")).distinct(), 100, "collections")]
-    targets = explode_targets(gated, wanted, key)
-    return complete_chains(rule_scan(targets, chosen, phrases, key), chosen, key)
+    found = chosen.limit(COMPILED_RULES + 1).collect()
+    if not found or len(found) > COMPILED_RULES:
+        matches = rule_scan(explode_targets(gated, None, key), chosen, phrases, key)
+        return complete_chains(matches, chosen, key)
+    # the rules are on the driver already: their collections and chains need no further jobs
+    targets = explode_targets(gated, sorted({c for r in found for c in r["collections"]}), key)
+    uses_lists = any(r["operator"] == "pmFromFile" for r in found)
+    matches = compile_scan(targets, found, phrase_lists(phrases) if uses_lists else {}, key)
+    return _complete(matches, {r["rule_id"]: r["chain_len"] for r in found if (r["chain_len"] or 1) > 1}, key)
 
 
 def complete_chains(matches: DataFrame, rules: DataFrame, key: str = "req_id") -> DataFrame:
@@ -208,6 +219,10 @@ def complete_chains(matches: DataFrame, rules: DataFrame, key: str = "req_id") -
             rules.filter(F.col("chain_len") > 1).select("rule_id", "chain_len").distinct(), COMPILED_RULES, "chains"
         )
     }
+    return _complete(matches, lengths, key)
+
+
+def _complete(matches: DataFrame, lengths: dict[int, int], key: str) -> DataFrame:
     if not lengths:
         return matches
     length = F.coalesce(*[F.when(F.col("rule_id") == rule_id, n) for rule_id, n in lengths.items()], F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def _request_line() -> Column:
     return F.concat_ws(" ", "method", "uri", "protocol")
 
 
-COLLECTIONS: dict[str, Callable[[], Column]] = {
+_BUILDERS: dict[str, Callable[[], Column]] = {
     "ARGS": lambda: F.concat(_as("ARGS", _get_args()), _as("ARGS", _post_args())),
     "ARGS_GET": lambda: _as("ARGS_GET", _get_args()),
     "ARGS_POST": lambda: _as("ARGS_POST", _post_args()),
@@ -129,15 +130,24 @@ COLLECTIONS: dict[str, Callable[[], Column]] = {
 }
 
 
+COLLECTIONS = list(_BUILDERS)
+
+
+@cache
+def target_array(collection: str) -> Column:
+    """Targets of one collection as an array. Expressions do not depend on a session, so each is built once."""
+    return _BUILDERS[collection]()
+
+
 def explode_targets(requests: DataFrame, collections: list[str] | None = None, key: str = "req_id") -> DataFrame:
     """One row per scanned value. Only the named collections are built, so unused columns are never read."""
-    wanted = list(COLLECTIONS) if collections is None else [c for c in COLLECTIONS if c in set(collections)]
+    wanted = COLLECTIONS if collections is None else [c for c in COLLECTIONS if c in set(collections)]
     unknown = set(collections or ()) - set(COLLECTIONS)
     if unknown:
         raise ValueError(f"unknown collections: {sorted(unknown)}")
     if not wanted:
         return requests.select(key).withColumns({"collection": F.lit(""), "name": F.lit(""), "value": F.lit("")}).limit(0)
-    return requests.select(key, F.explode(F.concat(*[COLLECTIONS[c]() for c in wanted])).alias("t")).select(
+    return requests.select(key, F.explode(F.concat(*[target_array(c) for c in wanted])).alias("t")).select(
         key, F.col("t.collection").alias("collection"), F.col("t.name").alias("name"), F.col("t.value").alias("value")
     )
 
