@@ -20,7 +20,7 @@ def shuffle_key(key: Column, seed: int) -> Column:
 
 def rank_by_hash(df: DataFrame, group: str, order: str, hex_digits: int = 4) -> DataFrame:
     """Add ``rank`` (1…) and ``group_size`` within ``group`` by a hex text ``order``; buckets are its first digits."""
-    df = df.withColumn("__bucket", F.substring(order, 1, hex_digits))
+    df = df.withColumn("__bucket", F.coalesce(F.substring(order, 1, hex_digits), F.lit("")))
     counts = df.groupBy(group, "__bucket").agg(F.count("*").alias("__n"))
     in_group = Window.partitionBy(group)
     earlier = in_group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
