@@ -79,6 +79,18 @@ def test_stored_pipeline_makes_the_same_grams(spark):
     assert [r["g"] for r in spark.sql(statement.replace("]{2,}", "]{{2,}}"), rows=df).orderBy("id").collect()] == direct
 
 
+def test_word_and_character_pipeline(spark):
+    rows = [(1, "/a/b", "Mozilla Gecko x", "GET", 3), (2, "/a/c", "Mozilla curl", "POST", 5)]
+    df = spark.createDataFrame(rows, "id long, path string, agent string, method string, n int")
+    config = FeatureConfig(text=("path", "agent"), categorical=("method",), numeric=("n",), analyzer={"agent": "word"}, ngrams={"path": (1, 2)})
+    model = text_features.feature_pipeline(df, config)
+    out = model.transform(df).orderBy("id").collect()
+    assert out[0]["agent_vec_terms"] == ["mozilla", "gecko"] and out[0]["path_vec_terms"] == ["/", "a", "/", "b", "/a", "a/", "/b"]
+    assert out[0]["n_z"] == -1.0 and out[1]["n_z"] == 1.0
+    unseen = spark.createDataFrame([(3, None, None, "PATCH", None)], df.schema)
+    assert model.transform(unseen).first()["features"].numNonzeros() == 1  # the scaled number alone
+
+
 def test_tokeniser_order_and_padding(spark):
     df = spark.createDataFrame([(1, "Abca"), (2, "cz")], "id long, t string")
     vocabulary = text_features.vocabulary_of(df, "t", "id")

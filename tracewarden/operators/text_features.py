@@ -84,10 +84,8 @@ class TfIdf:
     terms: list[str]
     idf: list[float]
 
-    def stages(self, text: str, out: str, low: int, high: int, analyzer: str = "char") -> list:
-        """ML stages from a text column to an L2-normalised sparse vector."""
-        if analyzer == "word":
-            raise ValueError("word terms are added with with_terms before the pipeline")
+    def stages(self, out: str) -> list:
+        """ML stages from the term column ``<out>_terms`` to an L2-normalised sparse vector."""
         tokens = f"{out}_terms"
         counts = CountVectorizerModel.from_vocabulary(self.terms, tokens, f"{out}_counts")
         weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol=f"{out}_counts", outputCol=f"{out}_raw")
@@ -218,12 +216,14 @@ def feature_pipeline(train: DataFrame, config: FeatureConfig, out: str = "featur
     n = filled.count()
     for column in config.text:
         low, high = config.ngrams_for(column)
-        tokens = with_terms(filled, column, "__terms", low, high)
+        analyzer = config.analyzer_for(column)
+        tokens = with_terms(filled, column, "__terms", low, high, analyzer)
         model = tfidf_fit(tokens.select("__terms"), "__terms", config.terms_for(column), n)
         if not model.terms:
             continue
-        stages.append(SQLTransformer(statement=_ngram_statement(column, f"{column}_vec_terms", low, high)))
-        stages += model.stages(column, f"{column}_vec", low, high)
+        terms = f"{column}_vec_terms"
+        statement = _word_statement(column, terms) if analyzer == "word" else _ngram_statement(column, terms, low, high)
+        stages += [SQLTransformer(statement=statement), *model.stages(f"{column}_vec")]
         parts.append(f"{column}_vec")
     for column in config.categorical:
         stages += one_hot_stages(filled, column, f"{column}_vec")
@@ -254,6 +254,11 @@ def _ngram_statement(column: str, out: str, low: int, high: int) -> str:
     return f"SELECT *, get(transform(array({cs}), cs -> flatten(array({', '.join(arrays)}))), 0) AS {out} FROM __THIS__"
 
 
+def _word_statement(column: str, out: str) -> str:
+    """SQL form of ``words``."""
+    return f"SELECT *, regexp_extract_all(lower({column}), '(?U)\\\\b\\\\w\\\\w+\\\\b', 0) AS {out} FROM __THIS__"
+
+
 def assemble(df: DataFrame, config: FeatureConfig, key: str) -> tuple[DataFrame, object]:
     """Model input of the configured mode: ``sparse`` vector, ``dense`` integer sequences, or ``raw`` columns."""
     if config.mode == "raw":
