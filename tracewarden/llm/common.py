@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tracewarden.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 #: Heavy groups are those with at least this share of all rows, so there are at most as many as its inverse.
 HEAVY_SHARE = 1e-3
+_STORED: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the folder all executors share and read it back: lineage ends, a lost executor costs no rework."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more (what was made from them has been stored as well)."""
+    for df in tables:
+        known, path = _STORED.pop(id(df), (None, None))
+        if known is not None and known() is df:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -46,6 +60,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
 
 
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns, nulls included: rows with the same key are the same row repeated."""
+    columns = [F.col(c) for c in docs.columns]
+    values = [*columns, *(c.isNull() for c in columns)]
+    return [F.xxhash64(*values).alias("_k1"), F.xxhash64(F.lit(1), *values).alias("_k2")]
+
+
+def repeat_rows(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as ``counts`` (``_k1``, ``_k2``, ``_repeats``, ``_copies``) says for their ``row_key``.
+
+    ``_repeats`` is how often the row occurs in ``docs``, ``_copies`` how often all its occurrences together shall occur.
+    Texts shuffle once; only rows that occur more than once are reduced to one first.
+    """
+    keyed, columns = docs.select("*", *row_key(docs)), docs.columns
+    found = keyed.join(counts.where("_copies > 0"), ["_k1", "_k2"])
+    found = found.where("_repeats = 1").unionByName(found.where("_repeats > 1").dropDuplicates(["_k1", "_k2"]))
+    once = found.where("_copies = 1").select(columns)
+    more = found.where("_copies > 1").select(*columns, F.explode(F.expr("sequence(1L, _copies)")).alias("_copy"))
+    return once.unionByName(more.select(columns))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected edges (``a``, ``b``): rows (``node``, ``root``), root the smallest node reached.
 
@@ -56,7 +91,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = stored(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), name)
     before = None
     while True:
-        edges = stored(_small_star(stored(_large_star(edges), name)), name)
+        large = stored(_large_star(edges), name)
+        discard(edges)
+        edges = stored(_small_star(large), name)
+        discard(large)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
             break

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import components, join_groups, stored
+from tracewarden.llm.common import components, discard, join_groups, repeat_rows, row_key, stored
 
 SEED = 42
 #: The tree's balls are fitted on at most this many fingerprints; every fingerprint is then routed through it.
@@ -62,8 +62,8 @@ def _fingerprint_rows(words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
-                values = fingerprints(some.column(2).to_pylist(), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(values)], names=["doc_id", "key", "fp"])
+                values = fingerprints(some.column(3).to_pylist(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(values)], names=["doc_id", "_k1", "_k2", "fp"])
 
     return run
 
@@ -198,24 +198,30 @@ def near_fingerprints(distinct: DataFrame, reach: int) -> DataFrame:
     visits = rows.select(
         "leaf", "fp", F.lit(False).alias("home"), F.explode(F.expr(every.format("home"))).alias("hb"), F.expr("cast(pmod(h, visit_blocks) as int)").alias("vb")
     )
-    return homes.unionByName(visits).groupBy("leaf", "hb", "vb").applyInPandas(_linked_cells(reach), "a long, b long")
+    edges = stored(homes.unionByName(visits).groupBy("leaf", "hb", "vb").applyInPandas(_linked_cells(reach), "a long, b long"), "vantage-links")
+    discard(routed)
+    return edges
 
 
 def _row_components(docs: DataFrame, words: int, max_bits: int) -> DataFrame:
-    """(doc_id, key, fp, component_id, component_size) of every row; key: a hash of its text."""
+    """(doc_id, _k1, _k2, fp, root, component_id, component_size) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    prints = stored(rows.mapInArrow(_fingerprint_rows(words), "doc_id long, key long, fp long"), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), text.alias("text"))
+    prints = stored(rows.mapInArrow(_fingerprint_rows(words), "doc_id long, _k1 long, _k2 long, fp long"), "fingerprints")
     total = prints.count()
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
-    found = components(near_fingerprints(distinct, max_bits), "near-duplicates")
+    edges = near_fingerprints(distinct, max_bits)
+    found = components(edges, "near-duplicates")
+    discard(edges)
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stored(rooted, "rooted-fingerprints")
     sets = stored(
         rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("members")), "components"
     )
     by_print = join_groups(rooted, sets, "root", "members", total).select("fp", "n", "component_id", "component_size", "root")
-    return join_groups(prints, stored(by_print, "print-components"), "fp", "n", total).drop("n")
+    by_print = stored(by_print, "print-components")
+    discard(distinct, rooted, sets)
+    return join_groups(prints, by_print, "fp", "n", total).drop("n")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -233,13 +239,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """The documents that stay, with all their columns: of each component the row with the smallest id (nulls last).
 
-    Rows that share that id count by their texts' hash; of rows repeated with id and text one stays.
+    Rows that share that id count by a hash of all their columns; of a row repeated as a whole one stays.
     """
     found = _row_components(docs, words, max_bits)
-    rows = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("repeats"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "key", "repeats")).alias("best"))
-    best = stored(best.select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"), F.col("best.repeats").alias("_repeats")), "near-duplicates-kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
-    once = docs.join(best.where("_repeats = 1"), same, "left_semi")
-    repeated = docs.join(best.where("_repeats > 1"), same, "inner").dropDuplicates(["_id", "_key"])
-    return once.unionByName(repeated.select(docs.columns))
+    rows = found.groupBy("root", "doc_id", "_k1", "_k2").agg(F.count("*").alias("_repeats"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_k1", "_k2", "_repeats")).alias("best"))
+    best = best.select(*(F.col(f"best.{c}").alias(c) for c in ("_k1", "_k2", "_repeats")), F.lit(1).cast("long").alias("_copies"))
+    return repeat_rows(docs, stored(best, "near-duplicates-kept"))
