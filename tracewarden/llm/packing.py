@@ -94,11 +94,11 @@ class TierPacker:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, part int, tier_sequence long"
 
 
-def _packed(path: str, tiers: tuple[int, ...], with_ids: bool):
+def _packed(files: tuple[str, str], tiers: tuple[int, ...], with_ids: bool):
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, packer, part = ByteBpe(path), TierPacker(tiers), TaskContext.get().partitionId()
+        bpe, packer, part = ByteBpe(*files), TierPacker(tiers), TaskContext.get().partitionId()
         made, in_tier, rows = 0, dict.fromkeys(tiers, 0), []
 
         def note(sequences) -> None:
@@ -120,12 +120,9 @@ def _packed(path: str, tiers: tuple[int, ...], with_ids: bool):
             rows.clear()
             return out
 
-        end = np.array([END], dtype="<u4").tobytes()
         for incoming in batches:
-            for at in range(0, incoming.num_rows, 64):
-                some = incoming.slice(at, 64)
-                for doc_id, ids in zip(some.column(0).to_pylist(), bpe.encode(some.column(1).to_pylist())):
-                    note(packer.add(doc_id, np.frombuffer(ids + end, dtype="<u4")))
+            for doc_id, text in zip(*incoming.columns):
+                note(packer.add(doc_id.as_py(), np.append(bpe.encode(text.as_py()), np.uint32(END))))
                 if len(rows) >= 4096:
                     yield batch()
         note(packer.finish())
@@ -134,9 +131,11 @@ def _packed(path: str, tiers: tuple[int, ...], with_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, files: tuple[str, str] | None = None, tiers: tuple[int, ...] = TIERS, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence, with its step group; ``with_ids`` adds the ids as 32-bit bytes.
 
+    ``files``: a tokenizer file and the same vocabulary as ranks.
+
     Every document's ids and an end id are routed by length: full longest windows leave at once, the rest waits in the
     shortest tier that holds it. Each task packs its own rows, longest tier first, fills gaps from shorter tiers, and cuts
     a piece only where no whole one fits, so all sequences but the last of a task are exactly as long as their tier. No
@@ -149,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = PIECES + ", ids binary" * with_ids
-    pieces = stored(rows.mapInArrow(_packed(tokenizer or tokenizer_path(), tuple(tiers), with_ids), schema), "packed")
+    pieces = stored(rows.mapInArrow(_packed(files or (tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")), tuple(tiers), with_ids), schema), "packed")
     per_task = pieces.groupBy("tier", "part").agg((F.max("tier_sequence") + 1).alias("_n"))
     before = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_task = per_task.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n")
