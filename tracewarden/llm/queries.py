@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import chat_format, exact_dedup, fingerprint, lm_score, mixing, packing, sharding, simhash_dedup
+from tracewarden.llm import chat_format, exact_dedup, fingerprint, lm_score, mixing, packing, quality, sharding, simhash_dedup
 from tracewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_lm_score")
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
