@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import chat_format, exact_dedup, fingerprint, lm_score, mixing, packing, quality, sharding, simhash_dedup
+from tracewarden.llm import chat_format, exact_dedup, fingerprint, line_dedup, lm_score, mixing, packing, quality, sharding, simhash_dedup
 from tracewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality")
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    return decisions.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "group_size", "kept")
