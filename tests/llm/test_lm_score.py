@@ -20,13 +20,16 @@ def held(doc_id):
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def brute(documents, model, classes):
+def brute(documents, model, frequent, classes):
     counts = Counter()
     for doc_id, text in documents:
         if not held(doc_id):
             counts.update(tokens_of(text))
     n, v = sum(counts.values()), len(counts)
-    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][: classes - 1]
+    least = min((c for _, c in frequent), default=None)
+    want = sorted(((w, c) for w, c in counts.items() if least and c >= least), key=lambda x: (-x[1], x[0]))
+    assert frequent == want and len(want) <= lm.FREQUENT
+    top = [w for w, _ in want][: classes - 1]
     place = {w: i + 1 for i, w in enumerate(top)}
     rest = n - sum(counts[w] for w in top) + v - len(top) + 1
     r, q, c, b = (a.astype(np.float64) for a in model.arrays())
@@ -51,9 +54,9 @@ def check(docs, documents, monkeypatch, classes):
     models = []
     real = lm.train
     monkeypatch.setattr(lm, "CLASSES", classes)
-    monkeypatch.setattr(lm, "train", lambda *a: models.append(real(*a)) or models[-1])
+    monkeypatch.setattr(lm, "train", lambda tokens, counted: models.append((real(tokens, counted), counted.frequent)) or models[-1][0])
     rows = [tuple(r) for r in lm.score_documents(docs).collect()]
-    assert sorted(rows, key=key) == sorted(brute(documents, models[0], classes), key=key)
+    assert sorted(rows, key=key) == sorted(brute(documents, *models[0], classes), key=key)
 
 
 @pytest.mark.parametrize("frequent", [5, 10_000])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm.common import WORD, lower_ascii, stored, text_or_empty
+from tracewarden.session import bounded_rows
 
 END = "\n"  # the end of a text as a token; no word holds white space
 #: The model predicts this many classes: the most frequent tokens, and class 0 for all others.
@@ -150,12 +151,25 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def count_tokens(docs: DataFrame) -> Counted:
-    """Counts of all tokens of the rows that are not held out."""
+    """Counts of all tokens of the rows that are not held out.
+
+    Frequent are the tokens counted at least so often that no more than FREQUENT are.
+    """
     train = docs.where(~is_held_out(F.col("doc_id")))
     words = F.concat(F.regexp_extract_all(lower_ascii(text_or_empty()), F.lit(WORD), F.lit(0)), F.array(F.lit(END)))
     counts = stored(train.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "lm-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    frequent = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()  # at most FREQUENT rows
+    # the counts in steps of an eighth of a power of two: at most some hundred rows, and no sort of the vocabulary
+    level = F.floor(F.log2("n") * 8).cast("int")
+    steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()
+    taken, least = 0, None
+    for step in steps:
+        taken += step["words"]
+        if taken > FREQUENT:
+            break
+        least = step["least"]
+    rows = bounded_rows(counts.where(F.col("n") >= least), FREQUENT, "frequent tokens") if least else []
+    frequent = sorted(rows, key=lambda r: (-r["n"], r["token"]))
     return Counted(counts, totals["tokens"], totals["distinct"], [(r["token"], r["n"]) for r in frequent])
 
 
