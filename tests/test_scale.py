@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewarden.config import FeatureConfig, ScanConfig
+from tracewarden.functions.predicates import ip_match
 from tracewarden.operators import models, neighbours, ranking, scan, text_features, traffic
 from tracewarden.plans import rule_pack
-from tracewarden.schemas import PERCENTILES
+from tracewarden.schemas import PERCENTILES, RULES
 
 
 def test_percentiles_with_a_hot_value_and_a_hot_group(spark):
@@ -107,16 +108,42 @@ def _targets(spark, n_hot):
     return spark.createDataFrame(rows, "req_id long, collection string, name string, value string")
 
 
-def test_compiled_and_joined_scan_agree_on_a_hot_request(spark, monkeypatch):
-    targets, rules = _targets(spark, 3000), rule_pack.rules(spark).filter("operator <> 'validateUrlEncoding' and not multi_match")
+def test_scan_in_batches_agrees_for_every_rule(spark):
+    targets, rules = _targets(spark, 3000), rule_pack.rules(spark)
     columns = ["req_id", "rule_id", "chain_link", "collection", "name", "value"]
-    compiled = scan.rule_scan(targets, rules, rule_pack.phrases(spark)).select(*columns)
-    joined = scan.rule_scan(targets, rules, rule_pack.phrases(spark), compiled_limit=0).select(*columns)
-    monkeypatch.setattr(scan, "BROADCAST_RULES", 1)
-    salted = scan.rule_scan(targets, rules, rule_pack.phrases(spark), compiled_limit=0).select(*columns)
-    assert compiled.count() > 3000
-    for other in (joined, salted):
-        assert compiled.exceptAll(other).count() == 0 and other.exceptAll(compiled).count() == 0
+    whole = scan.rule_scan(targets, rules, rule_pack.phrases(spark)).select(*columns)
+    batches = scan.rule_scan(targets, rules, rule_pack.phrases(spark), batch=3).select(*columns)
+    assert whole.count() > 3000
+    assert whole.exceptAll(batches).count() == 0 and batches.exceptAll(whole).count() == 0
+
+
+def test_more_rules_than_a_projection_holds(spark):
+    pack = [rule_pack._rule(800000 + i, "x", 1, ["ARGS"], "streq", f"v{i}", [], "NOTICE", "inbound", "m") for i in range(2500)]
+    targets = spark.createDataFrame([(i, "ARGS", "a", f"v{7 * i}") for i in range(400)], "req_id long, collection string, name string, value string")
+    found = scan.rule_scan(targets, spark.createDataFrame(pack, RULES), batch=1000)
+    assert sorted((r["req_id"], r["rule_id"]) for r in found.collect()) == [(i, 800000 + 7 * i) for i in range(358)]
+
+
+def test_counts_by_key_include_zero(spark):
+    rule = rule_pack._rule(1, "x", 1, ["ARGS"], "eq", "0", [], "NOTICE", "inbound", "m", is_count=True, name_filter="^a")
+    rows = [(1, "ARGS", "a1", "x"), (2, "ARGS", "b", "x"), (3, "REQUEST_URI", "", "/")]
+    targets = spark.createDataFrame(rows, "req_id long, collection string, name string, value string")
+    assert sorted(r["req_id"] for r in scan.rule_scan(targets, spark.createDataFrame([rule], RULES)).collect()) == [2, 3]
+
+
+def test_unknown_operator_is_an_error(spark):
+    rule = rule_pack._rule(1, "x", 1, ["ARGS"], "noSuch", "", [], "NOTICE", "inbound", "m")
+    with pytest.raises(ValueError):
+        scan.rule_scan(_targets(spark, 1), spark.createDataFrame([rule], RULES))
+
+
+@pytest.mark.parametrize(
+    "address, inside",
+    [("2001:db8::1", True), ("2001:DB8:1:2:3:4:5:6", True), ("2001:db9::", False), ("::1", True), ("::2", False), ("10.1.2.3", True), ("11.1.2.3", False), ("x", False), ("1:2", False), (None, False)],
+)
+def test_ip_networks(spark, address, inside):
+    df = spark.createDataFrame([(address,)], "v string").select(F.coalesce(ip_match(F.col("v"), "10.0.0.0/8,2001:db8::/32,::1"), F.lit(False)))
+    assert df.first()[0] == inside
 
 
 def test_chain_needs_all_links(spark):

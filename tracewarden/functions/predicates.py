@@ -104,18 +104,26 @@ def ipv4_number(v: Column) -> Column:
     return F.when(four, ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
 
 
+def ipv6_digits(v: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, null for any other text."""
+    halves = F.split(F.lower(v), "::")
+    groups = lambda part: F.filter(F.split(F.coalesce(part, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    padded = F.transform(F.concat(left, F.when(F.size(halves) == 2, zeros).otherwise(F.array().cast("array<string>")), right), lambda g: F.lpad(g, 4, "0"))
+    whole = v.rlike("^[0-9a-fA-F:]*$") & v.contains(":") & (F.size(halves) <= 2) & (F.size(padded) == 8)
+    return F.when(whole, F.array_join(padded, ""))
+
+
 def ip_match(v: Column, arg: str) -> Column:
-    """Address inside one of the listed networks. IPv4 by number; IPv6 single addresses by their canonical text."""
-    number, hit = ipv4_number(v), F.lit(False)
+    """Address inside one of the listed networks: IPv4 by number, IPv6 by its digits."""
+    number, digits, hit = ipv4_number(v), ipv6_digits(v), F.lit(False)
     for item in arg.split(","):
         net = ipaddress.ip_network(item.strip(), strict=False)
-        if net.version == 4:
-            hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
-        elif net.num_addresses == 1:
-            hit = hit | (F.lower(v) == str(net.network_address))
-        else:
-            raise ValueError(f"only single IPv6 addresses are supported: {item}")
-    return F.coalesce(hit, F.lit(False))
+        low, high = int(net.network_address), int(net.broadcast_address)
+        test = number.between(low, high) if net.version == 4 else digits.between(f"{low:032x}", f"{high:032x}")
+        hit = hit | F.coalesce(test, F.lit(False))
+    return hit
 
 
 def unconditional(v: Column, _: str) -> Column:

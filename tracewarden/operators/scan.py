@@ -1,9 +1,9 @@
 """Rule scan: match every target against every rule of its collection.
 
-A rule table is small and known when the job is planned, so it is compiled into one projection: each transform chain
-is applied once per value, each rule becomes a predicate with a literal pattern (compiled once per task, not once per
-value), and the matching rules come out of one ``explode``. Targets are neither shuffled nor joined. Rule tables too
-large to compile go through an equi join on the collection with the pattern as a column; results are the same.
+A rule table is known when the job is planned, so it is compiled into projections: each transform chain is applied once
+per value, each rule becomes a predicate with a literal pattern (compiled once per task, not once per value), and the
+matching rules come out of one ``explode``. Targets are neither shuffled nor joined. A projection holds a batch of rules;
+a larger table is the union of several, each by the same code, so any number of rules gives the same matches.
 """
 
 from __future__ import annotations
@@ -16,14 +16,11 @@ from pyspark.sql import functions as F
 from tracewarden.config import ScanConfig
 from tracewarden.functions import transforms as N
 from tracewarden.functions.features import header, header_values
-from tracewarden.functions.predicates import contains_any, match
-from tracewarden.operators.targets import explode_targets
-from tracewarden.session import bounded_rows
+from tracewarden.functions.predicates import match
+from tracewarden.operators.targets import count_name, explode_targets, with_counts
 
-COMPILED_RULES = 2000
-BROADCAST_RULES = 200_000
-RULE_SALTS = 64
-PHRASE_ROWS = 20000
+#: Rules of one projection.
+RULE_BATCH = 2000
 
 
 def rules_for(rules: DataFrame, config: ScanConfig) -> DataFrame:
@@ -48,8 +45,9 @@ def exclude_rules(
 
 
 def phrase_lists(phrases: DataFrame | None) -> dict[str, list[str]]:
+    """Phrases by list name; they become literals of the plan, as the rules do."""
     lists: dict[str, list[str]] = {}
-    for row in bounded_rows(phrases, PHRASE_ROWS, "phrase lists") if phrases is not None else ():
+    for row in phrases.toLocalIterator() if phrases is not None else ():
         lists.setdefault(row["list_name"], []).append(row["phrase"])
     return lists
 
@@ -58,8 +56,15 @@ def rule_code(rule_id: int, link: int | None) -> int:
     return rule_id * 100 + (link or 0)
 
 
+def collections_of(rule: Row) -> list[str]:
+    """The collections a rule looks at; a rule on counts looks at the counted collections instead of their values."""
+    return [count_name(c, rule["name_filter"]) for c in rule["collections"]] if rule["is_count"] else rule["collections"]
+
+
 def _in_scope(rule: Row) -> list[Column]:
     """Conditions on the target's name; the collection is settled by the dispatch."""
+    if rule["is_count"]:
+        return []
     scope = [F.col("name").rlike(rule["name_filter"])] if rule["name_filter"] else []
     for out in rule["excluded"] or ():
         scope.append(~((F.col("collection") == out["collection"]) & F.col("name").rlike(out["name"])))
@@ -80,9 +85,9 @@ def compile_scan(targets: DataFrame, rules: list[Row], phrases: dict[str, list[s
     scanned: dict[tuple[str, ...], set[str]] = {}
     for rule in rules:
         for chain in _chains_of(rule):
-            scanned.setdefault(chain, set()).update(rule["collections"])
+            scanned.setdefault(chain, set()).update(collections_of(rule))
     columns = {chain: f"__v{i}" for i, chain in enumerate(scanned)}
-    used = sorted({c for rule in rules for c in rule["collections"]})
+    used = sorted({c for rule in rules for c in collections_of(rule)})
     # longest shared prefix first: a chain starts from the column of its own prefix when that one is there for it
     prepared = targets.filter(F.col("collection").isin(*used))
     for chain in sorted(scanned, key=len):
@@ -105,7 +110,7 @@ def compile_scan(targets: DataFrame, rules: list[Row], phrases: dict[str, list[s
     # a target is tested against the rules of its own collection only; collections with the same rules share an array
     by_rules: dict[tuple[int, ...], list[str]] = {}
     for name in used:
-        by_rules.setdefault(tuple(i for i, rule in enumerate(rules) if name in rule["collections"]), []).append(name)
+        by_rules.setdefault(tuple(i for i, rule in enumerate(rules) if name in collections_of(rule)), []).append(name)
     codes = F.coalesce(
         *[
             F.when(F.col("collection").isin(*names), F.array_compact(F.array(*[hits[i] for i in group])))
@@ -122,72 +127,24 @@ def compile_scan(targets: DataFrame, rules: list[Row], phrases: dict[str, list[s
     )
 
 
-def _joined_scan(targets: DataFrame, rules: DataFrame, phrases: dict[str, list[str]], key: str) -> DataFrame:
-    """Scan with the rules as a table: one row per rule and collection, the pattern a column.
+def _scan_batches(targets: DataFrame, rules: list[Row], phrases: dict[str, list[str]], key: str, batch: int) -> DataFrame:
+    parts = [compile_scan(targets, rules[at : at + batch], phrases, key) for at in range(0, len(rules), batch)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
 
-    Operators other than regular expressions are few kinds, so they become regular expressions or comparisons on the
-    argument column. Transform chains are compiled, one projection per chain in use. The rules are broadcast while their
-    number is bounded; beyond that both sides are spread over salts, because there are only a few collections to join on.
+def rule_scan(targets: DataFrame, rules: DataFrame, phrases: DataFrame | None = None, key: str = "req_id", batch: int = RULE_BATCH) -> DataFrame:
+    """``(req_id, rule_id, chain_link, collection, name, value)``, one row per rule and matching target.
+
+    Rules on counts (``is_count``) compare how many targets of a collection, by name where ``name_filter`` is set, a key
+    has; the keys are those that have any target in ``targets``. Unknown operators are an error.
     """
-    chains = [tuple(r["transforms"] or ()) for r in bounded_rows(rules.select("transforms").distinct(), 500, "chains")]
-    per_rule = rules.withColumn("collection", F.explode("collections"))
-    small = len(rules.select("rule_id").limit(BROADCAST_RULES + 1).collect()) <= BROADCAST_RULES
-    keys = ["collection"] if small else ["collection", "__salt"]
-    if not small:
-        per_rule = per_rule.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
-        targets = targets.withColumn("__salt", F.pmod(F.xxhash64(key, "collection", "name", "value"), F.lit(RULE_SALTS)).cast("int"))
-    v, arg = F.col("value_n"), F.col("argument")
-    number = F.coalesce(v.try_cast("long"), F.lit(0))
-    limit = arg.try_cast("long")
-    test = (
-        F.when(F.col("operator") == "rx", F.rlike(v, arg))
-        .when(F.col("operator") == "pm", F.exists(F.split(F.lower(arg), r"\s+"), lambda w: F.contains(F.lower(v), w)))
-        .when(F.col("operator") == "within", F.contains(arg, v))
-        .when(F.col("operator") == "streq", v == arg)
-        .when(F.col("operator") == "contains", F.contains(v, arg))
-        .when(F.col("operator") == "endsWith", F.endswith(v, arg))
-        .when(F.col("operator") == "beginsWith", F.startswith(v, arg))
-        .when(F.col("operator") == "eq", number == limit)
-        .when(F.col("operator") == "lt", number < limit)
-        .when(F.col("operator") == "gt", number > limit)
-        .when(F.col("operator") == "ge", number >= limit)
-        .when(F.col("operator") == "le", number <= limit)
-        .when(F.col("operator") == "unconditionalMatch", F.lit(True))
-    )
-    for name, words in phrases.items():
-        test = test.when((F.col("operator") == "pmFromFile") & (arg == name), contains_any(v, words))
-    hit = F.coalesce(F.when(F.coalesce("negate", F.lit(False)), ~test).otherwise(test), F.lit(False))
-    named = F.col("name_filter").isNull() | F.rlike(F.col("name"), F.col("name_filter"))
-    kept = ~F.exists(
-        F.coalesce("excluded", F.expr("cast(array() as array<struct<collection: string, name: string>>)")),
-        lambda x: (x["collection"] == F.col("collection")) & F.rlike(F.col("name"), x["name"]),
-    )
-    parts = []
-    for chain in chains:
-        some = per_rule.filter(F.coalesce("transforms", F.array().cast("array<string>")) == F.array(*[F.lit(t) for t in chain]).cast("array<string>"))
-        values = targets.withColumn("value_n", N.apply_chain(F.col("value"), chain))
-        parts.append(values.join(F.broadcast(some) if small else some, keys).filter(named & kept & hit))
-    link = F.coalesce("chain_link", F.lit(0)).alias("chain_link")
-    return reduce(lambda a, b: a.unionByName(b), parts).select(key, "rule_id", link, "collection", "name", "value")
-
-
-def rule_scan(
-    targets: DataFrame,
-    rules: DataFrame,
-    phrases: DataFrame | None = None,
-    key: str = "req_id",
-    compiled_limit: int = COMPILED_RULES,
-) -> DataFrame:
-    """``(req_id, rule_id, chain_link, collection, name, value)``, one row per rule and matching target."""
-    found = rules.limit(compiled_limit + 1).collect()
-    lists = phrase_lists(phrases)
-    if len(found) > compiled_limit:
-        return _joined_scan(targets, rules, lists, key)
+    found = rules.collect()
     if not found:
         return targets.limit(0).select(
             key, F.lit(0).alias("rule_id"), F.lit(0).alias("chain_link"), "collection", "name", "value"
         )
-    return compile_scan(targets, found, lists, key)
+    counted = sorted({(c, r["name_filter"]) for r in found if r["is_count"] for c in r["collections"]}, key=str)
+    return _scan_batches(with_counts(targets, counted, key), found, phrase_lists(phrases), key, batch)
 
 
 def scan_requests(requests: DataFrame, rules: DataFrame, phrases: DataFrame | None = None, config: ScanConfig = ScanConfig(), key: str = "req_id") -> DataFrame:
@@ -196,15 +153,16 @@ def scan_requests(requests: DataFrame, rules: DataFrame, phrases: DataFrame | No
     gated = response_gate(scan_gate(requests, config, key), config)
     if config.skip_response:
         chosen = chosen.filter(F.col("direction") != "outbound")
-    found = chosen.limit(COMPILED_RULES + 1).collect()
-    if not found or len(found) > COMPILED_RULES:
-        matches = rule_scan(explode_targets(gated, None, key), chosen, phrases, key)
-        return complete_chains(matches, chosen, key)
-    # the rules are on the driver already: their collections and chains need no further jobs
-    targets = explode_targets(gated, sorted({c for r in found for c in r["collections"]}), key)
+    found = chosen.collect()
+    if not found:
+        return rule_scan(explode_targets(gated, None, key), chosen, phrases, key)
+    # the rules are on the driver: their collections and chains need no further jobs
+    plain = sorted({c for r in found if not r["is_count"] for c in r["collections"]})
+    counted = sorted({(c, r["name_filter"]) for r in found if r["is_count"] for c in r["collections"]}, key=str)
+    targets = explode_targets(gated, plain, key, counted)
     uses_lists = any(r["operator"] == "pmFromFile" for r in found)
-    matches = compile_scan(targets, found, phrase_lists(phrases) if uses_lists else {}, key)
-    return _complete(matches, {r["rule_id"]: r["chain_len"] for r in found if (r["chain_len"] or 1) > 1}, key)
+    matches = _scan_batches(targets, found, phrase_lists(phrases) if uses_lists else {}, key, RULE_BATCH)
+    return complete_chains(matches, chosen, key) if any((r["chain_len"] or 1) > 1 for r in found) else matches
 
 
 def complete_chains(matches: DataFrame, rules: DataFrame, key: str = "req_id") -> DataFrame:
@@ -213,27 +171,16 @@ def complete_chains(matches: DataFrame, rules: DataFrame, key: str = "req_id") -
     The scan is read once: matches are brought together by request, where the seen links of each rule are a bit mask.
     Aggregations by request that follow reuse this partitioning.
     """
-    lengths = {
-        r["rule_id"]: r["chain_len"]
-        for r in bounded_rows(
-            rules.filter(F.col("chain_len") > 1).select("rule_id", "chain_len").distinct(), COMPILED_RULES, "chains"
-        )
-    }
-    return _complete(matches, lengths, key)
-
-
-def _complete(matches: DataFrame, lengths: dict[int, int], key: str) -> DataFrame:
-    if not lengths:
-        return matches
-    length = F.coalesce(*[F.when(F.col("rule_id") == rule_id, n) for rule_id, n in lengths.items()], F.lit(0))
+    lengths = rules.filter(F.col("chain_len") > 1).select("rule_id", F.col("chain_len").alias("__len")).distinct()
     in_request = Window.partitionBy(key, "rule_id")
     seen = F.bit_or(F.expr("shiftleft(1, greatest(chain_link - 1, 0))")).over(in_request)
+    whole = (F.col("__seen") == F.expr("shiftleft(1, __len) - 1")) & (F.col("chain_link") == F.col("__len"))
     return (
-        matches.repartition(key)
-        .withColumn("__len", length)
+        matches.join(lengths, "rule_id", "left")
+        .repartition(key)
         .withColumn("__seen", seen)
-        .filter((F.col("__len") == 0) | ((F.col("__seen") == F.expr("shiftleft(1, __len) - 1")) & (F.col("chain_link") == F.col("__len"))))
-        .drop("__len", "__seen")
+        .filter(F.col("__len").isNull() | whole)
+        .select(matches.columns)
     )
 
 

@@ -139,19 +139,52 @@ def target_array(collection: str) -> Column:
     return _BUILDERS[collection]()
 
 
-def explode_targets(requests: DataFrame, collections: list[str] | None = None, key: str = "req_id") -> DataFrame:
-    """One row per scanned value. Only the named collections are built, so unused columns are never read."""
-    wanted = COLLECTIONS if collections is None else [c for c in COLLECTIONS if c in set(collections)]
-    unknown = set(collections or ()) - set(COLLECTIONS)
+def count_name(collection: str, name_filter: str | None) -> str:
+    """The collection under which the number of targets of ``collection`` appears."""
+    return f"&{collection}:{name_filter}" if name_filter else f"&{collection}"
+
+
+def _named(targets: Column, pattern: str | None) -> Column:
+    return F.filter(targets, lambda t: t["name"].rlike(pattern)) if pattern else targets
+
+
+def _checked(collections) -> None:
+    unknown = set(collections) - set(COLLECTIONS)
     if unknown:
         raise ValueError(f"unknown collections: {sorted(unknown)}")
-    if not wanted:
+
+
+def explode_targets(
+    requests: DataFrame, collections: list[str] | None = None, key: str = "req_id", counted: list[tuple[str, str | None]] = ()
+) -> DataFrame:
+    """One row per scanned value. Only the named collections are built, so unused columns are never read.
+
+    ``counted`` adds one row per request with the number of targets of a collection, zero included, whose name matches a
+    pattern where one is given.
+    """
+    wanted = COLLECTIONS if collections is None else [c for c in COLLECTIONS if c in set(collections)]
+    _checked([*(collections or ()), *(c for c, _ in counted)])
+    if not wanted and not counted:
         return requests.select(key).withColumns({"collection": F.lit(""), "name": F.lit(""), "value": F.lit("")}).limit(0)
-    return requests.select(key, F.explode(F.concat(*[target_array(c) for c in wanted])).alias("t")).select(
+    arrays = [target_array(c) for c in wanted]
+    for collection, pattern in counted:
+        arrays.append(F.array(_target(count_name(collection, pattern), F.lit(""), F.size(_named(target_array(collection), pattern)))))
+    return requests.select(key, F.explode(F.concat(*arrays)).alias("t")).select(
         key, F.col("t.collection").alias("collection"), F.col("t.name").alias("name"), F.col("t.value").alias("value")
     )
 
 
+def with_counts(targets: DataFrame, counted: list[tuple[str, str | None]], key: str = "req_id") -> DataFrame:
+    """``targets`` and, for every key in them, one row per counted collection; map-side sums, one shuffle by key."""
+    if not counted:
+        return targets
+    here = lambda c, p: (F.col("collection") == c) & (F.col("name").rlike(p) if p else F.lit(True))
+    counts = targets.groupBy(key).agg(*(F.count_if(here(c, p)).alias(f"__n{i}") for i, (c, p) in enumerate(counted)))
+    rows = F.array(*(_target(count_name(c, p), F.lit(""), F.col(f"__n{i}")) for i, (c, p) in enumerate(counted)))
+    counts = counts.select(key, F.explode(rows).alias("t")).select(key, "t.collection", "t.name", "t.value")
+    return targets.select(key, "collection", "name", "value").unionByName(counts)
+
+
 def normalise_targets(targets: DataFrame, chain: list[str], out: str = "normalised") -> DataFrame:
     """Add the value after a transform chain; narrow, so no value is moved to be normalised."""
     return targets.withColumn(out, apply_chain(F.col("value"), chain))

@@ -16,6 +16,15 @@ def _seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
+def exact_sum(column: str) -> Column:
+    """A sum as decimal with six places: no digit depends on the order of the rows."""
+    return F.sum(F.col(column).cast("decimal(28,6)"))
+
+
+def exact_mean(column: str) -> Column:
+    return exact_sum(column).cast("double") / F.count(column)
+
+
 def traffic_summary(events: DataFrame) -> DataFrame:
     """One row per (method, name) and a row ``Aggregated`` over all; rates are over the span of the whole run."""
     rows = events.select(F.col("method").alias("Type"), F.col("name").alias("Name"), "ts", "latency_ms", "size", "error")
@@ -24,10 +33,10 @@ def traffic_summary(events: DataFrame) -> DataFrame:
         F.grouping_id().alias("__g"),
         F.count("*").alias("Request Count"),
         F.count_if(failed).alias("Failure Count"),
-        F.avg("latency_ms").alias("Average Response Time"),
+        exact_mean("latency_ms").alias("Average Response Time"),
         F.min("latency_ms").alias("Min Response Time"),
         F.max("latency_ms").alias("Max Response Time"),
-        F.avg("size").alias("Average Content Size"),
+        exact_mean("size").alias("Average Content Size"),
     )
     totals = totals.filter(F.col("__g").isin(0, 3)).withColumn(
         "Name", F.when(F.col("__g") == 3, "Aggregated").otherwise(F.col("Name"))
@@ -90,7 +99,7 @@ def _running_totals(per_second: DataFrame) -> DataFrame:
         "second",
         n.cast("long").alias("Total Request Count"),
         (F.col("failed") + F.col("prior_failed")).cast("long").alias("Total Failure Count"),
-        ((F.col("latency") + F.col("prior_latency")) / n).alias("Total Average Response Time"),
+        ((F.col("latency") + F.col("prior_latency")).cast("double") / n).alias("Total Average Response Time"),
         F.least("low", "prior_low").alias("Total Min Response Time"),
         F.greatest("high", "prior_high").alias("Total Max Response Time"),
         ((F.col("bytes") + F.col("prior_bytes")) / n).alias("Total Average Content Size"),
@@ -102,7 +111,7 @@ def traffic_history(events: DataFrame, window_seconds: int = 10) -> DataFrame:
     rows = events.withColumn("second", _seconds(F.col("ts")))
     failed = F.count_if(F.col("error").isNotNull())
     per_second = rows.groupBy("second").agg(
-        F.count("*").alias("n"), failed.alias("failed"), F.sum("latency_ms").alias("latency"),
+        F.count("*").alias("n"), failed.alias("failed"), exact_sum("latency_ms").alias("latency"),
         F.sum("size").alias("bytes"), F.min("latency_ms").alias("low"), F.max("latency_ms").alias("high"),
     )
     present = per_second.select("second")

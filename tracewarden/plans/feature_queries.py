@@ -173,7 +173,7 @@ def featurise_long_bodies(spark, sf_dir):
     "flagship_host_profile",
     FEATURE_CTE
     + """SELECT coalesce(host, '') AS host, DepthOfPath AS path_depth, CAST(count(*) AS BIGINT) AS requests,
-  round(avg(RatioSpecialCharsToTotalChars), 6) AS avg_special_ratio, CAST(max(NumParams) AS BIGINT) AS max_params,
+  CAST(sum(CAST(RatioSpecialCharsToTotalChars AS DECIMAL(10,4))) AS DOUBLE) / count(RatioSpecialCharsToTotalChars) AS avg_special_ratio, CAST(max(NumParams) AS BIGINT) AS max_params,
   CAST(sum(NumKeywords) AS BIGINT) AS keywords, CAST(max(RequestLength) AS BIGINT) AS max_length
 FROM featured GROUP BY 1, 2""",
 )
@@ -184,7 +184,8 @@ def flagship_host_profile(spark, sf_dir):
         F.coalesce(X.header(_C("headers"), "Host"), F.lit("")).alias("host"), _typed("DepthOfPath").alias("path_depth")
     ).agg(
         F.count("*").alias("requests"),
-        F.round(F.avg("RatioSpecialCharsToTotalChars"), 6).alias("avg_special_ratio"),
+        # the ratio has four places: a decimal sum does not depend on the order of the rows
+        (F.sum(_C("RatioSpecialCharsToTotalChars").cast("decimal(10,4)")).cast("double") / F.count("RatioSpecialCharsToTotalChars")).alias("avg_special_ratio"),
         F.max("NumParams").cast("long").alias("max_params"),
         F.sum("NumKeywords").cast("long").alias("keywords"),
         F.max("RequestLength").cast("long").alias("max_length"),

@@ -9,6 +9,7 @@ from tracewarden.operators import policy, scan, scoring
 from tracewarden.operators.targets import explode_targets
 from tracewarden.plans import rule_pack, views
 from tracewarden.plans.registry import register
+from tracewarden.schemas import RULES
 
 _C = F.col
 
@@ -88,6 +89,16 @@ def _chain_sql(chain) -> str:
     return v
 
 
+_COMPARE_SQL = {"eq": "=", "lt": "<", "gt": ">", "ge": ">=", "le": "<="}
+_TEXT_SQL = {
+    "streq": "{v} = {arg}",
+    "endsWith": "ends_with({v}, {arg})",
+    "beginsWith": "starts_with({v}, {arg})",
+    "validateUtf8Encoding": "({v} IS NULL)",
+    "unconditionalMatch": "({v} IS NOT NULL)",
+}
+
+
 def _test_sql(rule, v: str) -> str:
     op, arg = rule["operator"], rule["argument"]
     if op == "rx":
@@ -98,13 +109,35 @@ def _test_sql(rule, v: str) -> str:
         test = f"contains({v}, {_quoted(arg)})"
     elif op == "validateUrlEncoding":
         test = f"contains(regexp_replace({v}, '%[0-9a-fA-F][0-9a-fA-F]', '', 'g'), '%')"
+    elif op in _COMPARE_SQL:
+        test = f"coalesce(TRY_CAST({v} AS BIGINT), 0) {_COMPARE_SQL[op]} {arg}"
+    elif op in _TEXT_SQL:
+        test = _TEXT_SQL[op].format(v=v, arg=_quoted(arg))
+    elif op == "validateByteRange":
+        test = f"regexp_matches({v}, '[^\\x09\\x0a\\x20-\\x7e]')"  # the ranges of the one rule that has it
+    elif op == "ipMatch":
+        test = f"regexp_matches({v}, '^10\\.') AND TRY_CAST(split_part({v}, '.', 2) AS INT) < 128"
     else:
-        words = arg.split() if op == "pm" else rule_pack.PHRASE_LISTS[arg]
+        words = arg.split() if op == "pm" else [w for name in arg.split() for w in rule_pack.PHRASE_LISTS[name]]
         test = "(" + " OR ".join(f"contains(lower({v}), {_quoted(w.lower())})" for w in words) + ")"
-    return f"NOT {test}" if rule["negate"] else test
+    return f"NOT ({test})" if rule["negate"] else f"({test})"
+
+
+def _count_rule_sql(rule) -> str:
+    """Targets per request, requests without any included."""
+    (collection,) = rule["collections"]
+    named = f" AND regexp_matches(t.name, {_quoted(rule['name_filter'])})" if rule["name_filter"] else ""
+    label = f"&{collection}:{rule['name_filter']}" if rule["name_filter"] else f"&{collection}"
+    return (
+        f"SELECT req_id, CAST({rule['rule_id']} AS INT) AS rule_id, CAST(0 AS INT) AS chain_link, {_quoted(label)} AS collection, '' AS name,"
+        f" CAST(n AS VARCHAR) AS value FROM (SELECT r.req_id, count(t.req_id) AS n FROM requests r LEFT JOIN targets t"
+        f" ON t.req_id = r.req_id AND t.collection = {_quoted(collection)}{named} GROUP BY 1) WHERE {_test_sql(rule, 'n')}"
+    )
 
 
 def _rule_sql(rule) -> str:
+    if rule["is_count"]:
+        return _count_rule_sql(rule)
     where = [f"collection IN ({', '.join(_quoted(c) for c in rule['collections'])})"]
     if rule["name_filter"]:
         where.append(f"regexp_matches(name, {_quoted(rule['name_filter'])})")
@@ -172,15 +205,49 @@ def j1(spark, sf_dir):
     return scan.rule_scan(targets, rule_pack.rules(spark), rule_pack.phrases(spark)).select(*_MATCH_COLUMNS)
 
 
-_JOINED = [r for r in rule_pack.PACK if r["operator"] != "validateUrlEncoding" and not r["multi_match"]]
+def _operator_rule(number: int, collection: str, operator: str, argument: str, **extra) -> dict:
+    return rule_pack._rule(990000 + number, "operators", 1, [collection], operator, argument, [], "NOTICE", "inbound", operator, **extra)
+
+
+# one rule per operator, and one on counts
+_OPERATOR_RULES = [
+    _operator_rule(1, "REQUEST_URI", "rx", "[0-9]{2}", negate=True),
+    _operator_rule(2, "REQUEST_HEADERS", "pm", "curl bot python", name_filter="^User-Agent$"),
+    _operator_rule(3, "REQUEST_HEADERS", "pmFromFile", "scanner-agents web-shells", name_filter="^User-Agent$"),
+    _operator_rule(4, "REQUEST_METHOD", "within", "HEAD OPTIONS", negate=True),
+    _operator_rule(5, "REQUEST_METHOD", "streq", "POST"),
+    _operator_rule(6, "REQUEST_URI", "contains", "/api"),
+    _operator_rule(7, "REQUEST_URI", "endsWith", "1"),
+    _operator_rule(8, "REQUEST_PROTOCOL", "beginsWith", "HTTP/1."),
+    _operator_rule(9, "RESPONSE_STATUS", "eq", "200"),
+    _operator_rule(10, "RESPONSE_STATUS", "lt", "300"),
+    _operator_rule(11, "RESPONSE_STATUS", "gt", "400"),
+    _operator_rule(12, "RESPONSE_STATUS", "ge", "404"),
+    _operator_rule(13, "RESPONSE_STATUS", "le", "404"),
+    _operator_rule(14, "ARGS", "validateByteRange", "9,10,32-126"),
+    _operator_rule(15, "ARGS", "validateUrlEncoding", ""),
+    _operator_rule(16, "REQUEST_METHOD", "validateUtf8Encoding", "", negate=True),
+    _operator_rule(17, "REMOTE_ADDR", "ipMatch", "10.0.0.0/9,2001:db8::/32"),
+    _operator_rule(18, "REQUEST_METHOD", "unconditionalMatch", ""),
+    _operator_rule(19, "ARGS", "ge", "2", is_count=True),
+    _operator_rule(20, "REQUEST_HEADERS", "eq", "0", is_count=True, name_filter="^User-Agent$"),
+]
+_COUNT_RULES = [r for r in _OPERATOR_RULES if r["is_count"]]
+_ALL_RULES = rule_pack.PACK + _OPERATOR_RULES
+
+
+@register("j1_rule_scan_large_table", matches_cte(_ALL_RULES) + f"SELECT {', '.join(_MATCH_COLUMNS)} FROM matches")
+def j1_large(spark, sf_dir):
+    """The whole pack and a rule per operator, scanned as a table of more rules than one projection holds."""
+    targets = _targets(spark, sf_dir, _pack_collections(_ALL_RULES))
+    rules = spark.createDataFrame(_ALL_RULES, RULES)
+    return scan.rule_scan(targets, rules, rule_pack.phrases(spark), batch=10).select(*_MATCH_COLUMNS)
 
 
-@register("j1_rule_scan_large_table", matches_cte(_JOINED) + f"SELECT {', '.join(_MATCH_COLUMNS)} FROM matches")
-def j1_joined(spark, sf_dir):
-    """The path rule tables beyond the compile limit take, forced here by a limit of zero."""
-    targets = _targets(spark, sf_dir, _pack_collections(_JOINED))
-    rules = rule_pack.rules(spark).filter((_C("operator") != "validateUrlEncoding") & ~_C("multi_match"))
-    return scan.rule_scan(targets, rules, rule_pack.phrases(spark), compiled_limit=0).select(*_MATCH_COLUMNS)
+@register("m09_count_rule", matches_cte(_COUNT_RULES) + f"SELECT {', '.join(_MATCH_COLUMNS)} FROM matches")
+def m09_count(spark, sf_dir):
+    rules = spark.createDataFrame(_COUNT_RULES, RULES)
+    return scan.scan_requests(views.requests(spark, sf_dir), rules).select(*_MATCH_COLUMNS)
 
 
 def _scan(spark, sf_dir, family=None, config=ScanConfig(blocking_pl=2, detection_pl=4)):

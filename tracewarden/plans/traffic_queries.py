@@ -30,10 +30,13 @@ def _percentile_sql(column: str = "latency_ms") -> str:
     return ", ".join(f'quantile_disc({column}, {p}) AS "{name}"' for name, p in PERCENTILES.items())
 
 
+_MEAN = "CAST(sum(CAST({0} AS DECIMAL(28,6))) AS DOUBLE) / count({0})"
+
+
 def _summary_sql(kind: str, name: str, group: str) -> str:
     return f"""SELECT {kind} AS "Type", {name} AS "Name", count(*) AS "Request Count", count(error) AS "Failure Count",
-  quantile_disc(latency_ms, 0.5) AS "Median Response Time", round(avg(latency_ms), 6) AS "Average Response Time",
-  min(latency_ms) AS "Min Response Time", max(latency_ms) AS "Max Response Time", round(avg(size), 6) AS "Average Content Size",
+  quantile_disc(latency_ms, 0.5) AS "Median Response Time", {_MEAN.format("latency_ms")} AS "Average Response Time",
+  min(latency_ms) AS "Min Response Time", max(latency_ms) AS "Max Response Time", {_MEAN.format("size")} AS "Average Content Size",
   round(count(*) / {_SPAN}, 9) AS "Requests/s", round(count(error) / {_SPAN}, 9) AS "Failures/s", {_percentile_sql()}
 FROM traffic {group}"""
 
@@ -42,7 +45,7 @@ def _traffic(spark, sf_dir):
     return views.view(spark, sf_dir, "traffic")
 
 
-_ROUNDED = {"Average Response Time": 6, "Average Content Size": 6, "Requests/s": 9, "Failures/s": 9}
+_ROUNDED = {"Requests/s": 9, "Failures/s": 9}
 
 
 @register(
@@ -62,30 +65,29 @@ def a11(spark, sf_dir):
     return traffic.failure_summary(_traffic(spark, sf_dir))
 
 
-_P50_95 = {k: PERCENTILES[k] for k in ("50%", "95%", "100%")}
-
-
 @register(
     "w3_traffic_history",
     _TRAFFIC
     + """, t AS (SELECT *, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM traffic),
 seconds AS (SELECT DISTINCT s FROM t),
 rolling AS (SELECT x.s, count(DISTINCT t.user_id) AS users, round(count(*) / 10.0, 6) AS rate, round(count(t.error) / 10.0, 6) AS failed,
-  quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, max(latency_ms) AS p100
+  """
+    + _percentile_sql()
+    + """
   FROM seconds x JOIN t ON t.s BETWEEN x.s - 9 AND x.s GROUP BY x.s),
-per AS (SELECT s, count(*) AS n, count(error) AS f, sum(latency_ms) AS l, min(latency_ms) AS lo, max(latency_ms) AS hi, sum(size) AS b FROM t GROUP BY s),
+per AS (SELECT s, count(*) AS n, count(error) AS f, sum(CAST(latency_ms AS DECIMAL(28,6))) AS l, min(latency_ms) AS lo, max(latency_ms) AS hi, sum(size) AS b FROM t GROUP BY s),
 run AS (SELECT s, sum(n) OVER w AS n, sum(f) OVER w AS f, sum(l) OVER w AS l, min(lo) OVER w AS lo, max(hi) OVER w AS hi, sum(b) OVER w AS b
   FROM per WINDOW w AS (ORDER BY s))
-SELECT s AS "Timestamp", users AS "User Count", rate AS "Requests/s", failed AS "Failures/s", p50 AS "50%", p95 AS "95%", p100 AS "100%",
-  CAST(n AS BIGINT) AS "Total Request Count", CAST(f AS BIGINT) AS "Total Failure Count", round(l / n, 5) AS "Total Average Response Time",
-  lo AS "Total Min Response Time", hi AS "Total Max Response Time", round(b / n, 5) AS "Total Average Content Size"
+SELECT s AS "Timestamp", users AS "User Count", rate AS "Requests/s", failed AS "Failures/s", """
+    + ", ".join(f'"{p}"' for p in PERCENTILES)
+    + """,
+  CAST(n AS BIGINT) AS "Total Request Count", CAST(f AS BIGINT) AS "Total Failure Count", CAST(l AS DOUBLE) / n AS "Total Average Response Time",
+  lo AS "Total Min Response Time", hi AS "Total Max Response Time", CAST(b AS DOUBLE) / n AS "Total Average Content Size"
 FROM run JOIN rolling USING (s)""",
 )
 def w3(spark, sf_dir):
     out = traffic.traffic_history(_traffic(spark, sf_dir))
-    rounded = {"Requests/s": 6, "Failures/s": 6, "Total Average Response Time": 5, "Total Average Content Size": 5}
-    kept = [c for c in out.columns if c not in PERCENTILES or c in _P50_95]
-    return out.select(*[f"`{c}`" for c in kept if c != "Name"]).withColumns({c: F.round(F.col(f"`{c}`"), n) for c, n in rounded.items()})
+    return out.drop("Name").withColumns({c: F.round(F.col(f"`{c}`"), 6) for c in ("Requests/s", "Failures/s")})
 
 
 _ORDERED = "row_number() OVER (PARTITION BY label ORDER BY sha1(concat(CAST(req_id AS VARCHAR), ':42')))"
@@ -279,15 +281,15 @@ def _stream_events(spark, sf_dir):
 @register(
     "x4_stream_traffic",
     """SELECT CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS second, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures,
-  round(avg(value), 6) AS mean_latency FROM events GROUP BY 1""",
+  """ + _MEAN.format("value") + " AS mean_latency FROM events GROUP BY 1",
 )
 def x4(spark, sf_dir):
     path, checkpoint = _paths(spark, "x4")
     events = _stream_events(spark, sf_dir).withColumns(
         {"error": F.when(_C("event_type") == "error", "failed"), "latency_ms": _C("value")}
     )
-    streams.write_complete(streams.stream_traffic(events), path, checkpoint)
-    return spark.read.parquet(path).withColumn("mean_latency", F.round("mean_latency", 6))
+    streams.write_updates(streams.stream_traffic(events), path, checkpoint)
+    return streams.latest_updates(spark, path, "second")
 
 
 @register("x5_stream_dedup", "SELECT DISTINCT event_type, user_id FROM events")

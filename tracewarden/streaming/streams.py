@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tracewarden.config import ScanConfig
 from tracewarden.functions.features import featurise
 from tracewarden.operators import scan, scoring, verdicts
+from tracewarden.operators.traffic import exact_mean
 
 
 def stream_table(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
@@ -23,12 +24,22 @@ def stream_features(requests: DataFrame, only: list[str] | None = None) -> DataF
 
 
 def stream_scan_score(requests: DataFrame, rules: DataFrame, phrases: DataFrame | None, config: ScanConfig, path: str, checkpoint: str, key: str = "req_id", **trigger) -> StreamingQuery:
-    """Scan, score and decide every micro-batch. A batch writes its own folder, so a repeated batch replaces itself."""
+    """Scan, score and decide every micro-batch. A batch writes its own folder, so a repeated batch replaces itself.
+
+    Rules and phrases are read once, when the stream starts; a batch is read once and released when it is written.
+    """
+    spark = requests.sparkSession
+    rules = spark.createDataFrame(rules.collect(), rules.schema)
+    phrases = None if phrases is None else spark.createDataFrame(phrases.collect(), phrases.schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        matches = scan.scan_requests(batch, rules, phrases, config, key)
-        scores = scoring.complete_scores(batch, scoring.score_requests(matches, rules, config, key), key)
-        scoring.decide_waf(scores, config).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.persist()
+        try:
+            matches = scan.scan_requests(batch, rules, phrases, config, key)
+            scores = scoring.complete_scores(batch, scoring.score_requests(matches, rules, config, key), key)
+            scoring.decide_waf(scores, config).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -45,7 +56,7 @@ def stream_traffic(events: DataFrame, lateness: str = "10 seconds", width: str =
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return (
         timed.groupBy(F.window("ts", width).alias("w"))
-        .agg(F.count("*").alias("requests"), F.count_if(F.col("error").isNotNull()).alias("failures"), F.avg("latency_ms").alias("mean_latency"))
+        .agg(F.count("*").alias("requests"), F.count_if(F.col("error").isNotNull()).alias("failures"), exact_mean("latency_ms").alias("mean_latency"))
         .select(F.unix_seconds(F.col("w.start")).alias("second"), "requests", "failures", "mean_latency")
     )
 
@@ -65,10 +76,21 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def write_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there now, keeping the full result of an aggregation."""
+def write_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there now, writing the groups that each micro-batch changed to a folder of its own.
+
+    Update mode lets the watermark drop old state; a repeated batch replaces its folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def latest_updates(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last written row of every group."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "batch"]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("row"))
+    return last.select("row.*")
