@@ -88,7 +88,7 @@ def test_traversal_patterns(spark):
 
 
 def test_missing_model(spark):
-    from tracewarden.sources.model_store import load_model
+    from tracewarden.operators.models import load_model
 
     with pytest.raises(FileNotFoundError):
         load_model(spark, "/tmp/no-such-model-anywhere")

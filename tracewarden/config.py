@@ -30,13 +30,16 @@ RESTRICTED_HEADERS = (
     "x-middleware-subrequest",
 )
 RESTRICTED_HEADERS_EXTENDED = ("accept-charset",)
-RESTRICTED_EXTENSIONS = tuple(
-    (
-        "ani asa asax ascx backup bak bat cdx cer cfg cmd com compositefont config conf crt cs csproj csr dat db "
-        "dbf dist dll dos dpkg-dist drv gadget hta htr htw ida idc idq inc inf ini jse key licx lnk log mdb msc "
-        "ocx old pass pdb pfx pif pem pol prf printer pwd rdb rdp reg resources resx scr sct shs sql swp sys tlb "
-        "tmp url vb vbe vbs vbproj vsdisco vxd webinfo ws wsc wsf wsh xsd xsx"
-    ).split()
+RESTRICTED_EXTENSIONS = (
+    "ani", "asa", "asax", "ascx", "backup", "bak", "bat", "cdx", "cer", "cfg",
+    "cmd", "com", "compositefont", "config", "conf", "crt", "cs", "csproj", "csr", "dat",
+    "db", "dbf", "dist", "dll", "dos", "dpkg-dist", "drv", "gadget", "hta", "htr",
+    "htw", "ida", "idc", "idq", "inc", "inf", "ini", "jse", "key", "licx",
+    "lnk", "log", "mdb", "msc", "ocx", "old", "pass", "pdb", "pfx", "pif",
+    "pem", "pol", "prf", "printer", "pwd", "rdb", "rdp", "reg", "resources", "resx",
+    "scr", "sct", "shs", "sql", "swp", "sys", "tlb", "tmp", "url", "vb",
+    "vbe", "vbs", "vbproj", "vsdisco", "vxd", "webinfo", "ws", "wsc", "wsf", "wsh",
+    "xsd", "xsx",
 )
 
 # Points a match adds, by severity.

@@ -11,6 +11,8 @@ from tracewarden.config import CATEGORIES, ScanConfig
 from tracewarden.operators.requests import REPORT_CATEGORIES
 
 LEVELS = (1, 2, 3, 4)
+#: Rules (a short row each) that are broadcast; beyond that Spark splits skewed joins itself.
+BROADCAST_FACTS = 20_000
 
 
 def severity_points(severity: Column, config: ScanConfig = ScanConfig()) -> Column:
@@ -32,7 +34,13 @@ def rule_facts(rules: DataFrame, *columns: str) -> DataFrame:
 def point_matches(matches: DataFrame, rules: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Matches with level, direction, category, phase and points of their rule."""
     facts = rule_facts(rules, "pl", "severity", "score_var", "direction", "phase")
-    return matches.join(facts.withColumn("points", severity_points(F.col("severity"), config)), "rule_id")
+    return _with_facts(matches, facts.withColumn("points", severity_points(F.col("severity"), config)))
+
+
+def _with_facts(matches: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join on the rule. A common rule has many matches: facts are broadcast while they are few, so it is not one task."""
+    few = len(facts.select("rule_id").take(BROADCAST_FACTS + 1)) <= BROADCAST_FACTS
+    return matches.join(F.broadcast(facts) if few else facts, "rule_id")
 
 
 def score_requests(matches: DataFrame, rules: DataFrame, config: ScanConfig = ScanConfig(), key: str = "req_id") -> DataFrame:
@@ -81,7 +89,7 @@ def decide_waf(scores: DataFrame, config: ScanConfig = ScanConfig()) -> DataFram
         {
             "interrupted": rule.isNotNull(),
             "interruption_rule": rule,
-            "interruption_status": F.when(early, 400).when(rule.isNotNull(), 403),
+            "interruption_status": F.when(rule.isNotNull(), 403),
             "action": F.when(rule.isNotNull(), "deny").otherwise("pass"),
         }
     )
@@ -133,7 +141,7 @@ def matched_rules_summary(matches: DataFrame, rules: DataFrame, key: str = "req_
     Matches are made distinct per request and rule first, so a list holds at most one entry per rule.
     """
     facts = rule_facts(rules, "msg", "tags")
-    per_rule = matches.select(key, "rule_id").distinct().join(facts, "rule_id")
+    per_rule = _with_facts(matches.select(key, "rule_id").distinct(), facts)
     entries = F.array_sort(F.collect_list(F.struct("rule_id", "msg", "tags")))
     joined = lambda f: F.array_join(F.transform("entries", f), ";")
     return (

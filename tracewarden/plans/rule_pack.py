@@ -72,8 +72,8 @@ PACK = [
     _rule(942904, "sqli", 3, _ARGS, "rx", "['\";#]", _URL, "WARNING", "sql_injection", "Quote or comment sign"),
     _rule(943901, "fixation", 1, ["ARGS_NAMES"], "rx", "^(?:sessionid|phpsessid|jsessionid)$", ["lowercase"], "CRITICAL", "session_fixation", "Session id by argument", chain_id=943901, chain_link=1, chain_len=2),
     _rule(943901, "fixation", 1, ["REQUEST_HEADERS"], "rx", r"^https?://other\.", [], "CRITICAL", "session_fixation", "Session id by argument from another site", chain_id=943901, chain_link=2, chain_len=2, name_filter="^Referer$"),
-    _rule(943902, "fixation", 1, _ARGS, "rx", r"\.cookie\s*=.*;\s*(?:expires|domain)\s*=", _URL_LOW, "CRITICAL", "session_fixation", "Cookie set from markup"),
-    _rule(944901, "java", 1, _ARGS, "rx", r"java\.lang\.(?:runtime|processbuilder)", _URL_LOW, "CRITICAL", "rce", "Java process"),
+    _rule(943902, "fixation", 1, _ARGS, "pm", "document.cookie= document.cookie+= x.cookie= set-cookie:", _URL_LOW + ["removeWhitespace"], "CRITICAL", "session_fixation", "Cookie set from an argument"),
+    _rule(944901, "java", 1, _ARGS, "pm", "getruntime( processbuilder( java.lang.runtime java.lang.process", _URL_LOW + ["removeWhitespace"], "CRITICAL", "rce", "Java process started from an argument"),
     _rule(944902, "java", 2, _ARGS + ["REQUEST_HEADERS"], "rx", r"\$[{\[]jndi:", _URL_LOW, "CRITICAL", "rce", "Name lookup"),
     _rule(950901, "leak-listing", 1, ["RESPONSE_BODY"], "rx", "<title>Index of /|<h1>Index of /", [], "ERROR", "outbound", "Directory listing"),
     _rule(950902, "leak-listing", 2, ["RESPONSE_STATUS"], "rx", "^5[0-9][0-9]$", [], "ERROR", "outbound", "Server error"),

@@ -609,10 +609,14 @@ def a5(spark, sf_dir):
 _EARLY = "CASE WHEN early_inbound >= 5 THEN 949111 WHEN blocking_inbound >= 5 THEN 949110 WHEN blocking_outbound >= 4 THEN 959100 END"
 
 
-@register("a5_decide_waf_early", SCORE_CTE + f"SELECT req_id, CAST({_EARLY} AS INT) AS interruption_rule FROM scores")
+@register(
+    "a5_decide_waf_early",
+    SCORE_CTE
+    + f"SELECT req_id, CAST({_EARLY} AS INT) AS interruption_rule, CAST(CASE WHEN {_EARLY} IS NOT NULL THEN 403 END AS INT) AS interruption_status FROM scores",
+)
 def a5_early(spark, sf_dir):
     config = ScanConfig(blocking_pl=1, detection_pl=4, early_blocking=True)
-    return scoring.decide_waf(_scores(spark, sf_dir, config), config).select("req_id", "interruption_rule")
+    return scoring.decide_waf(_scores(spark, sf_dir, config), config).select("req_id", "interruption_rule", "interruption_status")
 
 
 _LEVEL_TESTS = {
@@ -662,9 +666,19 @@ def a7(spark, sf_dir):
     "SELECT CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (p_size % 4 + 1 < p_size % 3 + 1) AS BIGINT) AS rejected FROM part",
 )
 def a8(spark, sf_dir):
-    """Level pairs taken from the part table; the rule is the one ``ScanConfig.check`` enforces."""
+    """Level pairs taken from the part table (a dozen at most), each put to ``ScanConfig.check``."""
     levels = views.table(spark, sf_dir, "part").select((_C("p_size") % 4 + 1).alias("detection"), (_C("p_size") % 3 + 1).alias("blocking"))
-    return levels.agg(F.count("*").alias("checked"), F.count_if(_C("detection") < _C("blocking")).alias("rejected"))
+
+    def rejected(blocking: int, detection: int) -> bool:
+        try:
+            ScanConfig(blocking_pl=blocking, detection_pl=detection).check()
+        except ValueError:
+            return True
+        return False
+
+    pairs = levels.groupBy("blocking", "detection").count().collect()
+    checked = [(r["count"], r["count"] if rejected(r["blocking"], r["detection"]) else 0) for r in pairs]
+    return spark.createDataFrame(checked, "n long, bad long").agg(F.sum("n").alias("checked"), F.sum("bad").alias("rejected"))
 
 
 @register(

@@ -5,21 +5,67 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # The flat audit row, in file order.
-_FLAT = """
-Timestamp timestamp, TransactionID string, ClientIP string, ClientPort int, ServerIP string, ServerPort int,
-RequestMethod string, RequestURIPath string, RequestURIQuery string, RequestProtocol string, UserAgent string,
-Referer string, AcceptEncoding string, ContentType string, Accept string, Cookie string, Connection string,
-OtherHeaders string, RequestBody string, ResponseStatus int, ResponseProtocol string, ResponseHeaders string,
-ResponseBody string, WAFInterrupted boolean, InterruptionRuleID string, InterruptionStatus int,
-InterruptionAction string, MatchedRulesCount int, MatchedRulesIDs string, MatchedRulesMessages string,
-MatchedRulesTags string, AIScore double, AIVerdict string, AIVerdictLabel string, AIVulnerabilityTypeLabel string,
-RequestLength int, PathLength int, QueryLength int, BodyLength int, NumParams int, LongestParamValueLength int,
-NumSpecialChars int, NumEncodedChars int, NumDoubleEncodedChars int, RatioSpecialCharsToTotalChars double,
-NumKeywords int, NumUniqueChars int, IsJSONBody boolean, IsXMLBody boolean, IsMultipartForm boolean,
-HasNumericPathSegment boolean, DepthOfPath int, UsesBase64Encoding boolean, UsesHexEncoding boolean,
-HasMultipleContentLength boolean, InvalidHTTPVersion boolean, NumHTTPHeaders int, TimeOfDayHour int,
-TimeOfDayDayOfWeek string
-"""
+_FLAT = (
+    ("Timestamp", "timestamp"),
+    ("TransactionID", "string"),
+    ("ClientIP", "string"),
+    ("ClientPort", "int"),
+    ("ServerIP", "string"),
+    ("ServerPort", "int"),
+    ("RequestMethod", "string"),
+    ("RequestURIPath", "string"),
+    ("RequestURIQuery", "string"),
+    ("RequestProtocol", "string"),
+    ("UserAgent", "string"),
+    ("Referer", "string"),
+    ("AcceptEncoding", "string"),
+    ("ContentType", "string"),
+    ("Accept", "string"),
+    ("Cookie", "string"),
+    ("Connection", "string"),
+    ("OtherHeaders", "string"),
+    ("RequestBody", "string"),
+    ("ResponseStatus", "int"),
+    ("ResponseProtocol", "string"),
+    ("ResponseHeaders", "string"),
+    ("ResponseBody", "string"),
+    ("WAFInterrupted", "boolean"),
+    ("InterruptionRuleID", "string"),
+    ("InterruptionStatus", "int"),
+    ("InterruptionAction", "string"),
+    ("MatchedRulesCount", "int"),
+    ("MatchedRulesIDs", "string"),
+    ("MatchedRulesMessages", "string"),
+    ("MatchedRulesTags", "string"),
+    ("AIScore", "double"),
+    ("AIVerdict", "string"),
+    ("AIVerdictLabel", "string"),
+    ("AIVulnerabilityTypeLabel", "string"),
+    ("RequestLength", "int"),
+    ("PathLength", "int"),
+    ("QueryLength", "int"),
+    ("BodyLength", "int"),
+    ("NumParams", "int"),
+    ("LongestParamValueLength", "int"),
+    ("NumSpecialChars", "int"),
+    ("NumEncodedChars", "int"),
+    ("NumDoubleEncodedChars", "int"),
+    ("RatioSpecialCharsToTotalChars", "double"),
+    ("NumKeywords", "int"),
+    ("NumUniqueChars", "int"),
+    ("IsJSONBody", "boolean"),
+    ("IsXMLBody", "boolean"),
+    ("IsMultipartForm", "boolean"),
+    ("HasNumericPathSegment", "boolean"),
+    ("DepthOfPath", "int"),
+    ("UsesBase64Encoding", "boolean"),
+    ("UsesHexEncoding", "boolean"),
+    ("HasMultipleContentLength", "boolean"),
+    ("InvalidHTTPVersion", "boolean"),
+    ("NumHTTPHeaders", "int"),
+    ("TimeOfDayHour", "int"),
+    ("TimeOfDayDayOfWeek", "string"),
+)
 _KINDS = {
     "timestamp": T.TimestampType(), "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
     "double": T.DoubleType(), "boolean": T.BooleanType(),
@@ -30,7 +76,7 @@ def _columns(*specs: tuple[str, str]) -> T.StructType:
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in specs])
 
 
-AUDIT_FLAT = _columns(*[tuple(field.split()) for field in _FLAT.replace("\n", " ").split(",")])
+AUDIT_FLAT = _columns(*_FLAT)
 FLAT_COLUMNS = AUDIT_FLAT.fieldNames()
 
 _HEADERS = (
