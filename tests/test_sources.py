@@ -92,3 +92,17 @@ def test_missing_model(spark):
 
     with pytest.raises(FileNotFoundError):
         load_model(spark, "/tmp/no-such-model-anywhere")
+
+
+def test_csv_columns_by_header_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"ClientIP","Unknown","TransactionID"\r\n1.2.3.4,x,t1\r\n,y,"t,2"\r\n')
+    (tmp_path / "b.csv").write_text("TransactionID,RequestBody\nt3,\"two\nlines\"\n")
+    (tmp_path / "c.csv").write_text("TransactionID,ClientIP\n")
+    (tmp_path / "d.csv").write_text("")
+    rows = audit_csv.read_audit_csv(spark, f"{tmp_path}/*.csv")
+    assert rows.columns == FLAT_COLUMNS
+    got = sorted(tuple(r) for r in rows.select("TransactionID", "ClientIP", "RequestBody").collect())
+    assert got == [("t,2", None, None), ("t1", "1.2.3.4", None), ("t3", None, "two\nlines")]
+    (tmp_path / "odd.log").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        audit_csv.read_audit_csv(spark, f"{tmp_path}/odd.log")

@@ -8,7 +8,7 @@ from tracewarden.operators import cleaning as P
 from tracewarden.operators.requests import union_audit
 from tracewarden.plans import views
 from tracewarden.plans.registry import register
-from tracewarden.schemas import AUDIT_FLAT, TRAFFIC_HISTORY
+from tracewarden.schemas import AUDIT_FLAT, TRAFFIC_HISTORY, TRAFFIC_STATS
 from tracewarden.session import scratch_path
 from tracewarden.sources import audit_csv, audit_json, tables
 
@@ -174,6 +174,19 @@ def s1(spark, sf_dir):
     return back.select(*_READ_BACK).withColumn("RequestBody", F.replace("RequestBody", F.lit("\r"), F.lit("")))
 
 
+@register("s1_header_order", _READ_SQL)
+def s1_header_order(spark, sf_dir):
+    """The same log written in two column orders, half the rows each, with quoted headers in one."""
+    log = _audit_log(spark, sf_dir)
+    first, second = (log.filter(F.pmod(F.xxhash64("TransactionID"), F.lit(2)) == half) for half in (0, 1))
+    paths = [scratch_path(spark, name) for name in ("audit-as-is", "audit-reversed")]
+    first = audit_csv.write_audit_csv(first, paths[0], "20250710_200141")
+    text = second.select(*[_C(c).cast("string").alias(c) for c in reversed(log.columns)])
+    text.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(paths[1])
+    back = audit_csv.read_audit_csv(spark, [f"{first}/*.csv", f"{paths[1]}/*.csv"])
+    return back.select(*_READ_BACK).withColumn("RequestBody", F.replace("RequestBody", F.lit("\r"), F.lit("")))
+
+
 @register(
     "s2_drop_corrupt_lines",
     "SELECT concat('line ', CAST(event_id AS VARCHAR(20))) AS value FROM events WHERE event_id % 5 > 1",
@@ -263,6 +276,39 @@ def s6(spark, sf_dir):
     return tables.read_clean(spark, path)
 
 
+@register("s7_read_clean_csv", "SELECT event_id, event_type, user_id FROM events")
+def s7_csv(spark, sf_dir):
+    """The CSV form with a declared schema."""
+    schema = "event_id long, event_type string, user_id long"
+    events = views.table(spark, sf_dir, "events").select(_C("event_id").cast("long"), "event_type", _C("user_id").cast("long"))
+    path = tables.write_clean(events, scratch_path(spark, "clean-csv"), "20250710_200141", "csv")
+    return tables.read_clean(spark, path, "csv", schema)
+
+
+@register(
+    "s9_read_traffic_stats",
+    """SELECT event_type AS "Name", CAST(user_id AS BIGINT) AS "Request Count", CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS "99%" FROM events""",
+)
+def s9_stats(spark, sf_dir):
+    path, events = scratch_path(spark, "stats"), views.table(spark, sf_dir, "events")
+    high = F.when(_C("event_id") % 3 == 0, "N/A").otherwise(_C("value").cast("string"))
+    given = {"Name": _C("event_type"), "Request Count": _C("user_id"), "99%": high}
+    events.select(*[given.get(f.name, F.lit("0")).alias(f.name) for f in TRAFFIC_STATS.fields]).write.option("header", True).csv(path)
+    return tables.read_traffic_stats(spark, path).select("Name", "`Request Count`", "`99%`")
+
+
+@register(
+    "s9_read_traffic_failures",
+    """SELECT 'GET' AS "Method", event_type AS "Name", concat('error, "', user_id, '"') AS "Error", CAST(event_id AS BIGINT) AS "Occurrences" FROM events""",
+)
+def s9_failures(spark, sf_dir):
+    path, events = scratch_path(spark, "failures"), views.table(spark, sf_dir, "events")
+    error = F.concat(F.lit('error, "'), _C("user_id").cast("string"), F.lit('"'))
+    rows = events.select(F.lit("GET").alias("Method"), _C("event_type").alias("Name"), error.alias("Error"), _C("event_id").alias("Occurrences"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_traffic_failures(spark, path)
+
+
 @register(
     "s8_write_audit_sinks",
     views.cte("requests") + "SELECT label, CAST(count(*) AS BIGINT) AS n FROM requests GROUP BY label",

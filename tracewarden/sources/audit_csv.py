@@ -7,16 +7,23 @@ split is the parity of the quotes before it, which needs one count per split, so
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewarden.operators.requests import union_audit
 from tracewarden.schemas import AUDIT_FLAT
+from tracewarden.session import bounded_rows
 
 # Line endings a failing log writer leaves.
 BAD_ENDINGS = ("Failed to write CSV record: short write", "CSV writer error: short write")
 
+#: Different column orders among the files of one read.
+MOST_LAYOUTS = 1000
+
 
 def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths (or globs) that match at least one file."""
@@ -80,10 +87,34 @@ def _records(lines: DataFrame) -> DataFrame:
     )
     pieces = F.array_sort(F.collect_list(F.struct("block", "pos", "value")))
     return keyed.groupBy("file", "record").agg(
-        F.array_join(F.transform(pieces, lambda p: p["value"]), "\n").alias("record_text")
+        F.array_join(F.transform(pieces, lambda p: p["value"]), "\n").alias("record_text"), F.min(F.struct("block", "pos")).alias("at")
     )
 
 
+def _headers(records: DataFrame) -> DataFrame:
+    """The first record of every file."""
+    return records.groupBy("file").agg(F.min_by("record_text", "at").alias("header"))
+
+
+def _header_names(header: str, schema: T.StructType) -> list[str]:
+    """Column names in the order of a file; names beyond the schema stay, for their place."""
+    names = [n.strip().lstrip("\ufeff") for n in next(csv.reader([header]))]
+    if not set(names) & set(schema.fieldNames()):
+        raise ValueError(f"no known column in the header: {header[:200]}")
+    return names
+
+
+def _parsed(records: DataFrame, names: list[str], schema: T.StructType) -> DataFrame:
+    """Records of files with this header, by the schema's names; columns the files lack are null."""
+    fields = [f"f{i}" for i in range(len(names))]
+    text_schema = ", ".join(f"{f} string" for f in [*fields, "too_many"])
+    options = {"quote": '"', "escape": '"', "nullValue": "\u0001", "emptyValue": "", "mode": "PERMISSIVE",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
+    rows = records.select(F.from_csv("record_text", F.lit(text_schema), options).alias("r")).select("r.*").filter("too_many is null")
+    place = {name: f for f, name in reversed(list(zip(fields, names)))}
+    return rows.select(*[(F.col(place[f.name]) if f.name in place else F.lit(None).cast("string")).alias(f.name) for f in schema.fields])
+
+
 def _cast(name: str, kind: T.DataType) -> Column:
     text = F.when(F.col(name) != "", F.col(name))
     if isinstance(kind, T.BooleanType):
@@ -100,23 +131,23 @@ def _cast(name: str, kind: T.DataType) -> Column:
 def read_audit_csv(spark: SparkSession, paths: list[str] | str, schema: T.StructType = AUDIT_FLAT) -> DataFrame:
     """Read flat audit logs; missing, empty and header-only files add nothing, rows with too many fields are dropped.
 
-    Rows with too few fields are kept with nulls, empty fields are null, invalid bytes are left out.
+    The first record of a file is its header: columns are taken by name, in any order, quoted or not; a column the file lacks
+    is null, a header without any known column is an error. Rows with too few fields are kept with nulls, empty fields are
+    null, invalid bytes are left out.
     """
     found = existing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
     if not found:
         return spark.createDataFrame([], schema)
-    names = schema.fieldNames()
-    records = _records(drop_corrupt_lines(_lines(spark, found)))
-    extra = "__too_many"
-    text_schema = ", ".join(f"`{n}` string" for n in [*names, extra])
-    options = {"quote": '"', "escape": '"', "nullValue": "\u0001", "emptyValue": "", "mode": "PERMISSIVE",
-               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
-    parsed = (
-        records.filter((F.col("record_text") != "") & ~F.col("record_text").startswith(",".join(names[:2])))
-        .select(F.from_csv("record_text", F.lit(text_schema), options).alias("r"))
-        .select("r.*")
-    )
-    rows = parsed.filter(F.col(extra).isNull())
+    records = _records(drop_corrupt_lines(_lines(spark, found))).filter(F.col("record_text") != "")
+    headers = _headers(records)
+    layouts = [r["header"] for r in bounded_rows(headers.select("header").distinct(), MOST_LAYOUTS, "different headers")]
+    if not layouts:
+        return spark.createDataFrame([], schema)
+    parts = []
+    for header in layouts:
+        own = records if len(layouts) == 1 else records.join(headers.filter(F.col("header") == header).select("file"), "file", "left_semi")
+        parts.append(_parsed(own.filter(F.col("record_text") != header), _header_names(header, schema), schema))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
     return rows.select(*[_cast(f.name, f.dataType).alias(f.name) for f in schema.fields])
 
 
