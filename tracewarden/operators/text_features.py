@@ -71,10 +71,11 @@ def top_terms(df: DataFrame, terms: str, k: int) -> DataFrame:
     return counted.orderBy(F.desc("tf"), "term").limit(k)
 
 
-def document_frequencies(df: DataFrame, terms: str, vocabulary: DataFrame) -> DataFrame:
-    """Rows that hold each vocabulary term; per row every term counts once. The vocabulary is bounded by its top-k."""
-    once = df.select(F.explode(F.array_distinct(terms)).alias("term"))
-    return once.join(F.broadcast(vocabulary.select("term")), "term").groupBy("term").agg(F.count("*").alias("df"))
+def term_statistics(df: DataFrame, terms: str) -> DataFrame:
+    """``(term, tf, df)`` in one pass: occurrences, and rows that hold the term. Sums are formed before the shuffle."""
+    every = F.transform(F.col(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    return df.select(F.inline(F.concat(every, once))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 @dataclass
@@ -94,9 +95,8 @@ class TfIdf:
 
 def tfidf_fit(df: DataFrame, terms: str, max_terms: int = 5000, n: int | None = None) -> TfIdf:
     """Vocabulary of the most frequent terms and smooth idf ``ln((1 + n) / (1 + df)) + 1`` over ``n`` rows."""
-    vocabulary = bounded_rows(top_terms(df, terms, max_terms), max_terms, "vocabulary")
-    frame = df.sparkSession.createDataFrame([(r["term"],) for r in vocabulary], "term string")
-    freq = {r["term"]: r["df"] for r in document_frequencies(df, terms, frame).collect()}
+    top = term_statistics(df, terms).orderBy(F.desc("tf"), "term").limit(max_terms)
+    freq = {r["term"]: r["df"] for r in bounded_rows(top, max_terms, "vocabulary")}
     n = df.count() if n is None else n
     ordered = sorted(freq)
     return TfIdf(ordered, [float(np.log((1 + n) / (1 + freq[t])) + 1) for t in ordered])
@@ -115,11 +115,8 @@ def sparse_entries(df: DataFrame, vector: str, key: str, terms: list[str]) -> Da
     """Non-zero entries of a sparse vector column as ``(key, term, weight)``."""
     v = F.unwrap_udt(F.col(vector))
     zipped = F.arrays_zip(v["indices"].alias("i"), v["values"].alias("w"))
-    names = F.array(*[F.lit(t) for t in terms]) if len(terms) <= 500 else None
     rows = df.select(key, F.explode(zipped).alias("e")).select(key, F.col("e.i").alias("i"), F.col("e.w").alias("weight"))
-    if names is not None:
-        return rows.select(key, F.get(names, F.col("i")).alias("term"), "weight")
-    lookup = df.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
+    lookup = df.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")  # the fitted vocabulary
     return rows.join(F.broadcast(lookup), "i").select(key, "term", "weight")
 
 

@@ -18,23 +18,30 @@ from tracewarden.sources.audit_json import audit_records
 
 _C = F.col
 _DIALOG = views.cte("dialog")
-_GRAMS_CTE = (
-    _DIALOG
-    + """, t AS (SELECT row_id, regexp_replace(lower(text), '\\s{2,}', ' ', 'g') AS s FROM dialog),
-grams AS (SELECT row_id, substr(s, i, n) AS term FROM (SELECT row_id, s, n, unnest(range(1, length(s) - n + 2)) AS i FROM t, (VALUES (1), (2), (3)) v(n)) x)
+
+
+def _grams_cte(longest: int) -> str:
+    sizes = ", ".join(f"({n})" for n in range(1, longest + 1))
+    return (
+        _DIALOG
+        + f""", t AS (SELECT row_id, regexp_replace(lower(text), '\\s{{2,}}', ' ', 'g') AS s FROM dialog),
+grams AS (SELECT row_id, substr(s, i, n) AS term FROM (SELECT row_id, s, n, unnest(range(1, length(s) - n + 2)) AS i FROM t, (VALUES {sizes}) v(n)) x)
 """
-)
-_TERMS = 300
+    )
 
 
-def _grams(spark, sf_dir):
+_GRAMS_CTE = _grams_cte(6)
+_TERMS = 5000
+
+
+def _grams(spark, sf_dir, longest=6):
     rows = views.spread(views.view(spark, sf_dir, "dialog"))
-    return text_features.with_terms(rows, "text", "terms", 1, 3).select("row_id", "terms")
+    return text_features.with_terms(rows, "text", "terms", 1, longest).select("row_id", "terms")
 
 
-@register("d1_char_ngrams", _GRAMS_CTE + "SELECT row_id, term, count(*) AS n FROM grams GROUP BY ALL")
+@register("d1_char_ngrams", _grams_cte(3) + "SELECT row_id, term, count(*) AS n FROM grams GROUP BY ALL")
 def d1(spark, sf_dir):
-    return _grams(spark, sf_dir).select("row_id", F.explode("terms").alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("n"))
+    return _grams(spark, sf_dir, 3).select("row_id", F.explode("terms").alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("n"))
 
 
 _TOP = f"vocab AS (SELECT term, count(*) AS tf FROM grams GROUP BY term ORDER BY tf DESC, term LIMIT {_TERMS})"
@@ -118,9 +125,7 @@ def d6(spark, sf_dir):
     return text_features.tokenise_pad(rows, "text", vocabulary, 50, "ids").select("row_id", F.array_join("ids", ",").alias("ids"))
 
 
-_SMALL = FeatureConfig(
-    max_terms=dict.fromkeys(FeatureConfig().text, 60), ngrams=dict.fromkeys(FeatureConfig().text, (1, 2)), max_len=dict.fromkeys(FeatureConfig().text, 20)
-)
+_FEATURES = FeatureConfig()
 
 
 def _audit(spark, sf_dir):
@@ -129,24 +134,26 @@ def _audit(spark, sf_dir):
 
 @register("d7_assemble_sparse")
 def d7(spark, sf_dir):
-    out, _ = text_features.assemble(_audit(spark, sf_dir), _SMALL, "TransactionID")
+    out, _ = text_features.assemble(_audit(spark, sf_dir), _FEATURES, "TransactionID")
     v = F.unwrap_udt(F.col("features"))
     return out.select("TransactionID", v["size"].alias("width"), F.size(v["indices"]).alias("filled"))
 
 
 @register(
     "d7_assemble_raw",
-    views.cte("requests") + "SELECT CAST(req_id AS VARCHAR) AS TransactionID, method AS RequestMethod, path AS RequestURIPath, CAST(strlen(query) AS INT) AS QueryLength FROM requests",
+    FEATURE_CTE
+    + """SELECT CAST(req_id AS VARCHAR) AS TransactionID, method AS RequestMethod, path AS RequestURIPath, query AS RequestURIQuery,
+  body AS RequestBody, coalesce(user_agent, '') AS UserAgent, CAST(RequestLength AS INT) AS RequestLength, CAST(PathLength AS INT) AS PathLength,
+  CAST(QueryLength AS INT) AS QueryLength FROM requests JOIN (SELECT req_id, RequestLength, PathLength, QueryLength FROM featured) USING (req_id)""",
 )
 def d7_raw(spark, sf_dir):
     out, _ = text_features.assemble(_audit(spark, sf_dir), FeatureConfig(mode="raw"), "TransactionID")
-    return out.select("TransactionID", "RequestMethod", "RequestURIPath", "QueryLength")
+    return out
 
 
 @register("d7_assemble_dense")
 def d7_dense(spark, sf_dir):
-    config = FeatureConfig(mode="dense", max_len=dict.fromkeys(FeatureConfig().text, 20))
-    out, _ = text_features.assemble(_audit(spark, sf_dir), config, "TransactionID")
+    out, _ = text_features.assemble(_audit(spark, sf_dir), FeatureConfig(mode="dense"), "TransactionID")
     return out
 
 
@@ -177,7 +184,7 @@ def d8(spark, sf_dir):
 # ---- classifiers --------------------------------------------------------------------------------------------------
 
 
-def _train(kind: str, params: dict, config: FeatureConfig = _SMALL):
+def _train(kind: str, params: dict, config: FeatureConfig = _FEATURES):
     def query(spark, sf_dir):
         result = jobs.train_job(_audit(spark, sf_dir), kind, params, config)
         return result.scored
@@ -188,9 +195,7 @@ def _train(kind: str, params: dict, config: FeatureConfig = _SMALL):
 register("d9_linear_svm")(_train("svm", {"C": 1.0, "max_iter": 20}))
 register("d10_random_forest")(_train("random_forest", {"n_estimators": 10, "max_depth": 8}))
 register("d11_decision_tree")(_train("decision_tree", {"max_depth": 10, "criterion": "entropy"}))
-register("d12_naive_bayes")(
-    _train("naive_bayes", {"alpha": 0.5}, FeatureConfig(max_terms=_SMALL.max_terms, ngrams=_SMALL.ngrams, scale_numeric=False))
-)
+register("d12_naive_bayes")(_train("naive_bayes", {"alpha": 0.5}, FeatureConfig(scale_numeric=False)))
 register("d13_mlp")(_train("mlp", {"hidden_layer_sizes": (8,), "max_iter": 20}))
 
 
@@ -250,22 +255,22 @@ def w5(spark, sf_dir):
 def s14(spark, sf_dir):
     path = scratch_path(spark, "model")
     rows = _audit(spark, sf_dir)
-    jobs.train_job(rows, "decision_tree", {"max_depth": 5}, _SMALL, model_path=path)
+    jobs.train_job(rows, "decision_tree", {"max_depth": 5}, _FEATURES, model_path=path)
     return models.load_model(spark, path).transform(rows).select("TransactionID", F.col("prediction").cast("int").alias("prediction"))
 
 
 @register("d18_score_batch")
 def d18(spark, sf_dir):
     rows = _audit(spark, sf_dir)
-    model = jobs.train_job(rows, "random_forest", {"n_estimators": 5, "max_depth": 6}, _SMALL).model
+    model = jobs.train_job(rows, "random_forest", {"n_estimators": 5, "max_depth": 6}, _FEATURES).model
     gate = scoring_gate(_C("RequestMethod"), _C("RequestURIQuery"), _C("RequestBody"))
-    return verdicts.score_batch(rows, model, gate).select("TransactionID", "verdict", F.round("score", 6).alias("score"))
+    return verdicts.score_batch(rows, model, gate, _FEATURES).select("TransactionID", "verdict", F.round("score", 6).alias("score"))
 
 
 @register("d21_train_job")
 def d21(spark, sf_dir):
     runs = scratch_path(spark, "runs")
-    jobs.train_job(_audit(spark, sf_dir), "decision_tree", {"max_depth": 6}, _SMALL, runs_path=runs, run_ts="20250710_200141")
+    jobs.train_job(_audit(spark, sf_dir), "decision_tree", {"max_depth": 6}, _FEATURES, runs_path=runs, run_ts="20250710_200141")
     return evaluate.read_runs(spark, runs).select("run_ts", "model", "params", "metrics")
 
 
