@@ -84,27 +84,29 @@ def repeat_rows(docs: DataFrame, counts: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected edges (``a``, ``b``): rows (``node``, ``root``), root the smallest node reached.
 
-    Alternates large-star and small-star steps until nothing changes; the number of rounds grows with the logarithm of a
-    component's size. Every step is a map-side combined minimum and one join whose hot nodes are broadcast by the bound of
-    ``join_groups``. Nodes without an edge to another node do not appear. Nulls are not allowed.
+    Alternates large-star and small-star steps until every node has one edge, to a node that has none; the number of rounds
+    grows with the logarithm of a component's size. Every step is a map-side combined minimum and one join whose hot nodes
+    are broadcast by the bound of ``join_groups``. Nodes without an edge to another node do not appear. Nulls are not allowed.
     """
     edges = stored(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), name)
-    before = None
-    while True:
+    while not _are_stars(edges):
         large = stored(_large_star(edges), name)
         discard(edges)
         edges = stored(_small_star(large), name)
         discard(large)
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if before == state:
-            break
-        before = state
-    # now every edge leads from a node to the root of its component
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge down to the centre of its star."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("centre"), (F.col("a") < F.col("b")).alias("wrong"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("centre"), F.lit(False).alias("wrong")))
+    found = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("centre").alias("centre"), F.max("wrong").alias("wrong"))
+    return found.where((F.col("up") + F.col("centre") > 1) | F.col("wrong")).isEmpty()
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """Each (u, v) with the smallest v of u."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
