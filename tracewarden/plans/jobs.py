@@ -65,11 +65,16 @@ def train_job(
 
 def decide_requests(
     requests: DataFrame, rules: DataFrame, phrases: DataFrame | None = None, config: ScanConfig = ScanConfig(),
-    scored: DataFrame | None = None, key: str = "req_id",
+    scored: DataFrame | None = None, key: str = "req_id", exclusions: DataFrame | None = None,
 ) -> DataFrame:
-    """One decision per request from rule scan, policy checks and, where given, model verdicts."""
+    """One decision per request from rule scan, policy checks and, where given, model verdicts.
+
+    ``exclusions`` (see ``scan.apply_exclusions``) takes rules, tags or targets out of the scan for single requests.
+    """
     spark: SparkSession = requests.sparkSession
     matches = scan.scan_requests(requests, rules, phrases, config, key)
+    if exclusions is not None:
+        matches = scan.apply_exclusions(matches, rules, exclusions, key)
     checks = policy.policy_matches(scan.scan_gate(requests, config, key), config, key=key)
     columns = [key, "rule_id"]
     facts = ["rule_id", "pl", "severity", "score_var", "direction", "phase"]
