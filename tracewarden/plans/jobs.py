@@ -14,6 +14,7 @@ from tracewarden.operators import cleaning, evaluate, policy, scan, scoring, ver
 from tracewarden.operators.models import get_model, save_model
 from tracewarden.operators.ranking import stratified_split
 from tracewarden.operators.text_features import feature_pipeline
+from tracewarden.session import scratch_path
 
 
 @dataclass
@@ -52,9 +53,12 @@ def train_job(
     fixed = {"n_features": width, "n_rows": train.count(), "random_state": features.seed}
     classifier = get_model(kind, {**fixed, **(params or {})}).fit(vectors)
     model = PipelineModel([prepared, classifier])
-    scored = model.transform(test).select(key, "label", F.col("prediction").cast("int").alias("prediction"))
+    path = scratch_path(audit.sparkSession, "scored")
+    model.transform(test).select(key, "label", F.col("prediction").cast("int").alias("prediction")).write.parquet(path)
+    scored = audit.sparkSession.read.parquet(path)
     scores = evaluate.metrics(scored).first().asDict()
     vectors.unpersist()
+    table.unpersist()
     seconds = time.time() - start
     if model_path:
         save_model(model, model_path)

@@ -204,7 +204,10 @@ def _numeric_vectors(spark, sf_dir, folds: int):
     names = ["NumSpecialChars", "NumKeywords", "NumEncodedChars", "NumUniqueChars", "QueryLength"]
     rows = featurise(views.requests(spark, sf_dir), names).withColumn("label", binary_label(_C("label")))
     folded = ranking.stratified_folds(rows.select("req_id", "label", *names), "label", "req_id", folds)
-    return VectorAssembler(inputCols=names, outputCol="features").transform(folded).select("req_id", "label", "fold", "features").persist()
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(folded).select("req_id", "label", "fold", "features")
+    path = scratch_path(spark, "numeric-vectors")
+    vectors.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("d14_get_model")
