@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import chat_format, exact_dedup, fingerprint, line_dedup, lm_score, mixing, packing, periodic_runs, quality, sharding, simhash_dedup
+from tracewarden.llm import chat_format, exact_dedup, fingerprint, line_dedup, lm_score, minhash_dedup, mixing, packing, periodic_runs, quality, sharding, simhash_dedup
 from tracewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,34 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op11_minhash_near_dedup",
+    rf"""
+    WITH RECURSIVE words AS MATERIALIZED (
+        SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), sets AS MATERIALIZED (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+               ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s
+        FROM words
+    ), classes AS MATERIALIZED (
+        SELECT row_number() OVER () AS id, s, first FROM (SELECT list_sort(s) AS s, min(doc_id) AS first FROM sets WHERE len(s) > 0 GROUP BY 1)
+    ), items AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS x FROM classes
+    ), pairs AS MATERIALIZED (
+        SELECT l.id AS a, r.id AS b FROM items l JOIN items r ON l.x = r.x AND l.id < r.id
+        GROUP BY l.id, r.id HAVING 100 * count(*) >= 80 * (min(l.n) + min(r.n) - count(*))
+    ), links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+    ), reached(id, other) AS (
+        SELECT id, id FROM classes UNION SELECT reached.id, links.b FROM reached JOIN links ON reached.other = links.a
+    ), roots AS (
+        SELECT reached.id, min(classes.first) AS component_id FROM reached JOIN classes ON reached.other = classes.id GROUP BY 1
+    ), found AS (
+        SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(roots.component_id, sets.doc_id) AS component_id
+        FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN roots ON classes.id = roots.id
+    )
+    SELECT *, doc_id = component_id AS kept, count(*) OVER (PARTITION BY component_id) AS component_size FROM found
+    """,
+)
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
