@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import chat_format, exact_dedup, fingerprint, line_dedup, lm_score, minhash_dedup, mixing, packing, periodic_runs, quality, sharding, simhash_dedup
+from tracewarden.llm import chat_format, exact_dedup, fingerprint, line_dedup, lm_score, minhash_dedup, mixing, packing, periodic_runs, phrases, quality, sharding, simhash_dedup
 from tracewarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,38 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query(
+    "op12_phrases",
+    rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    ), sizes AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM words
+    ), starts AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sizes WHERE len(w) >= size
+    ), counts AS MATERIALIZED (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS a FROM starts GROUP BY ALL
+    ), frequent AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE a >= 30
+    ), cuts AS (
+        SELECT lang, phrase, size, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : size], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM frequent WHERE size >= 2)
+    ), scored AS (
+        SELECT c.*, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+        FROM cuts c JOIN frequent l ON c.lang = l.lang AND c.head = l.phrase JOIN frequent r ON c.lang = r.lang AND c.tail = r.phrase
+    ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ), inner_sizes AS (SELECT lang, w, size, a, unnest(range(2, size)) AS part FROM frequent WHERE size >= 3
+    ), inner_starts AS (SELECT *, unnest(range(1, size - part + 2)) AS i FROM inner_sizes
+    ), covers AS (SELECT lang, array_to_string(w[i : i + part - 1], ' ') AS phrase, max(a) AS cover FROM inner_starts GROUP BY ALL
+    ), kept AS (
+        SELECT lowest.* FROM lowest LEFT JOIN covers ON lowest.lang = covers.lang AND lowest.phrase = covers.phrase
+        WHERE cover IS NULL OR 100 * cover < 80 * a
+    ), totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+    ), ranked AS (
+        SELECT kept.*, n, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank
+        FROM kept JOIN totals ON kept.lang = totals.lang
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+    """,
+)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, longest=4, swallow=80, top=2000)
