@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,31 @@ def test_nearest_over_many_blocks(spark):
         assert [n for _, n in sorted(got[i])] == [j for _, j in order[:4]]
 
 
+def test_nearest_prunes_clusters_and_splits_equal_vectors(spark, monkeypatch):
+    """Far clusters are not visited; a third of all rows is one vector; keys and vectors may be null."""
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(10, 6)) * 100
+    points = np.concatenate([centres[rng.integers(0, 10, 400)] + rng.normal(size=(400, 6)), np.repeat(centres[:1], 200, axis=0)])
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(points)] + [(None, [0.0] * 6, 1), (9999, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    seen, kept = [], neighbours._compared
+    monkeypatch.setattr(neighbours, "_compared", lambda visits, references, k: seen.append(visits.count()) or kept(visits, references, k))
+    got = {}
+    for r in neighbours.nearest(df, df, k=3, block_rows=20).collect():
+        got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour"]))
+    for i, v in enumerate(points):
+        distance = np.sqrt(((points - v) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((np.arange(len(points)), distance)) if j != i]
+        assert [n for _, n in sorted(got[i])] == order[:3]
+    assert sorted(got) == list(range(600))
+    _, _, blocks = neighbours._blocks(df.select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("r_vec"), F.col("label").alias("r_label")).dropna(), 20)
+    assert sum(seen) < 0.5 * 600 * sum(b["salts"] for b in blocks)
+    few = neighbours.nearest(df.limit(3), df.limit(3), k=5)
+    assert few.groupBy("vec_id").count().where("count = 2").count() == 3
+    assert neighbours.nearest(df, df.limit(0)).count() == 0
+
+
 def test_ngrams_and_tfidf(spark):
     texts = ["GET  /a/b", "é😀x", "", "aaaa", "/a/b?x=1"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
