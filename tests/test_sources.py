@@ -1,6 +1,9 @@
 """Readers on damaged files."""
 
 import json
+import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +56,59 @@ def test_records_across_splits(spark, tmp_path):
     assert got == {f"t{i}": body for i in range(20)}
 
 
+def plain_records(lines):
+    """The records of a log read from start to end: a damaged one loses its first line, and reading goes on behind it."""
+    at, out = 0, []
+    while at < len(lines):
+        state, last = audit_csv._line_end(lines[at], False), at
+        while state == "in" and last + 1 < len(lines):
+            last += 1
+            state = audit_csv._line_end(lines[last], True)
+        if last == at and state != "in":
+            out.append(lines[at])
+        elif state == "out":
+            out.append("\n".join(lines[at : last + 1]))
+        else:
+            last = at
+        at = last + 1
+    return [r for r in out if r]
+
+
+@pytest.mark.parametrize("size", [23, 90, 10_000])
+def test_records_of_damaged_logs_in_splits_of_any_size(spark, tmp_path, size):
+    rng = random.Random(size)
+    kinds = ['a,b', 'x,"q",y', 'k,"open', 'more', 'end",z', 'half "quote,r', '"', '""', 'e,"",f', 't"u', '"a""b",c', "", 'm,"n"o']
+    weights = [6, 4, 2, 4, 2, 1, 1, 1, 1, 1, 1, 1, 1]
+    want = []
+    for number in range(4):
+        lines = rng.choices(kinds, weights, k=60)
+        (tmp_path / f"{number}.csv").write_text("\n".join(lines) + "\n")
+        want += [(f"{number}.csv", r) for r in plain_records(lines)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        records = audit_csv._records(audit_csv._lines(spark, [f"{tmp_path}/*.csv"]))  # the log is read here
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    records = records.collect()
+    assert Counter((os.path.basename(r["file"]), r["text"]) for r in records) == Counter(want)
+
+
+def test_stray_quotes_lose_one_record_only(spark, tmp_path):
+    rows = [line(TransactionID=f"t{i}", RequestBody=f"b{i}\nsecond", PathLength=str(i)) for i in range(300)]
+    rows[7] = '2025-07-10T20:01:41Z,"t7,10.0.0.1'
+    rows[150] = '2025-07-10T20:01:41Z,"t150'
+    rows[299] = '2025-07-10T20:01:41Z,"t299'
+    (tmp_path / "stray.csv").write_text("\n".join([HEADER, *rows]) + "\n" + HEADER + "\n")
+    for size in ("9000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = [r["TransactionID"] for r in audit_csv.read_audit_csv(spark, f"{tmp_path}/stray.csv").collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        # the header repeated as the last line is a row like any other
+        assert sorted(got) == sorted([f"t{i}" for i in range(300) if i not in (7, 150, 299)] + ["TransactionID"])
+
+
 def test_pretty_json(spark, tmp_path):
     def record(name, **calc):
         return json.dumps(

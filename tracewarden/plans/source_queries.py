@@ -187,6 +187,31 @@ def s1_header_order(spark, sf_dir):
     return back.select(*_READ_BACK).withColumn("RequestBody", F.replace("RequestBody", F.lit("\r"), F.lit("")))
 
 
+_STRAY = """SELECT concat('d', CAST(doc_id AS VARCHAR(20))) AS TransactionID, concat('/', CASE WHEN doc_id % 10 = 4 THEN 'a"b' ELSE '' END, lang) AS RequestURIPath,
+  text AS RequestBody FROM documents"""
+
+
+@register(
+    "s1_stray_quote",
+    f"SELECT TransactionID, RequestURIPath, replace(RequestBody, chr(13), '') AS RequestBody FROM ({_STRAY}) a WHERE substr(TransactionID, length(TransactionID), 1) <> '3'",
+)
+def s1_stray_quote(spark, sf_dir):
+    """Every tenth record has a field with an opening quote that is never closed, another tenth a quote within a plain field."""
+    docs = views.table(spark, sf_dir, "documents")
+    docs.createOrReplaceTempView("documents")
+    body = F.concat(F.lit('"'), F.replace("RequestBody", F.lit('"'), F.lit('""')), F.lit('"'))
+    whole = F.concat_ws(",", "TransactionID", "RequestURIPath", body)
+    damaged = F.concat(_C("TransactionID"), F.lit(',"'), _C("RequestURIPath"), F.lit(",no end"))
+    rows = spark.sql(_STRAY).select("TransactionID", F.when(_C("TransactionID").endswith("3"), damaged).otherwise(whole).alias("line"))
+    files = 1 + docs.count() // 500
+    rows = rows.groupBy(F.pmod(F.xxhash64("TransactionID"), F.lit(files)).alias("part")).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    path = scratch_path(spark, "stray-quotes")
+    header = F.array(F.lit("TransactionID,RequestURIPath,RequestBody"))
+    rows.select("part", F.array_join(F.concat(header, "lines"), "\n").alias("value")).write.partitionBy("part").text(path)
+    back = audit_csv.read_audit_csv(spark, f"{path}/*/*.txt")
+    return back.select("TransactionID", "RequestURIPath", F.replace("RequestBody", F.lit("\r"), F.lit("")).alias("RequestBody"))
+
+
 @register(
     "s2_drop_corrupt_lines",
     "SELECT concat('line ', CAST(event_id AS VARCHAR(20))) AS value FROM events WHERE event_id % 5 > 1",
