@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import FeatureConfig, ScanConfig
 from tracewarden.functions.predicates import ip_match
-from tracewarden.operators import models, neighbours, ranking, scan, text_features, traffic
+from tracewarden.operators import models, neighbours, ranking, running, scan, text_features, traffic
 from tracewarden.plans import rule_pack
 from tracewarden.schemas import PERCENTILES, RULES
 
@@ -84,6 +84,23 @@ def test_nearest_prunes_clusters_and_splits_equal_vectors(spark, monkeypatch):
     assert neighbours.nearest(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("share", "block"), [(0.5, 50), (0.9, 3600), (0.0, 7)])
+def test_running_quantile(spark, monkeypatch, share, block):
+    """Two digits and several blocks; a value that holds a third of all rows; seconds without any value."""
+    monkeypatch.setattr(running, "BLOCK_SECONDS", block)
+    rng = random.Random(block)
+    rows = [(rng.randrange(-200, 400), rng.choice([5.0, rng.uniform(-9, 99), round(rng.uniform(0, 9)) / 2]), rng.randrange(1, 4)) for _ in range(1500)]
+    rows += [(999, None, 3), (-500, None, 1)]
+    df = spark.createDataFrame(rows, "time long, value double, n long")
+    got = {r["time"]: r["value"] for r in running.running_quantile(df, share).collect()}
+    seen, want = [], {}
+    for time in sorted({r[0] for r in rows}):
+        seen += [v for t, v, n in rows if t == time and v is not None for _ in range(n)]
+        if seen:
+            want[time] = sorted(seen)[max(1, math.ceil(share * len(seen))) - 1]
+    assert got == want
+
+
 def test_ngrams_and_tfidf(spark):
     texts = ["GET  /a/b", "é😀x", "", "aaaa", "/a/b?x=1"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.operators.ranking import exact_percentiles, value_counts
+from tracewarden.operators.running import running_quantile
 from tracewarden.schemas import PERCENTILES
 
 
@@ -107,7 +108,7 @@ def _running_totals(per_second: DataFrame) -> DataFrame:
 
 
 def traffic_history(events: DataFrame, window_seconds: int = 10) -> DataFrame:
-    """One row per second with traffic: users, rates and latency percentiles of the last seconds, totals so far."""
+    """One row per second with traffic: users, rates and latency percentiles of the last seconds, totals and median so far."""
     rows = events.withColumn("second", _seconds(F.col("ts")))
     failed = F.count_if(F.col("error").isNotNull())
     per_second = rows.groupBy("second").agg(
@@ -128,12 +129,16 @@ def traffic_history(events: DataFrame, window_seconds: int = 10) -> DataFrame:
     users = seen_from(rows.select("second", "user_id").distinct(), "user_id").groupBy("second").agg(
         F.count_distinct("user_id").alias("User Count")
     )
-    counts = seen_from(value_counts(rows, ["second"], "latency_ms"), "__value", "__n")
+    by_value = value_counts(rows, ["second"], "latency_ms")
+    counts = seen_from(by_value, "__value", "__n")
+    medians = running_quantile(by_value.select(F.col("second").alias("time"), F.col("__value").alias("value"), F.col("__n").alias("n")))
+    medians = medians.select(F.col("time").alias("second"), F.col("value").alias("Total Median Response Time"))
     summed = counts.groupBy("second", "__value").agg(F.sum("__n").alias("__n"))
     percentiles = exact_percentiles(summed, ["second"], PERCENTILES)
     joined = rates.join(users, "second").join(percentiles, "second").join(_running_totals(per_second), "second")
+    joined = joined.join(medians, "second", "left")
     return joined.select(
         F.col("second").alias("Timestamp"), "User Count", F.lit("Aggregated").alias("Name"), "Requests/s", "Failures/s",
         *[F.col(f"`{p}`") for p in PERCENTILES], "Total Request Count", "Total Failure Count",
-        "Total Average Response Time", "Total Min Response Time", "Total Max Response Time", "Total Average Content Size",
+        "Total Median Response Time", "Total Average Response Time", "Total Min Response Time", "Total Max Response Time", "Total Average Content Size",
     )

@@ -77,13 +77,14 @@ rolling AS (SELECT x.s, count(DISTINCT t.user_id) AS users, round(count(*) / 10.
   FROM seconds x JOIN t ON t.s BETWEEN x.s - 9 AND x.s GROUP BY x.s),
 per AS (SELECT s, count(*) AS n, count(error) AS f, sum(CAST(latency_ms AS DECIMAL(28,6))) AS l, min(latency_ms) AS lo, max(latency_ms) AS hi, sum(size) AS b FROM t GROUP BY s),
 run AS (SELECT s, sum(n) OVER w AS n, sum(f) OVER w AS f, sum(l) OVER w AS l, min(lo) OVER w AS lo, max(hi) OVER w AS hi, sum(b) OVER w AS b
-  FROM per WINDOW w AS (ORDER BY s))
+  FROM per WINDOW w AS (ORDER BY s)),
+medians AS (SELECT s, max(m) AS m FROM (SELECT s, quantile_disc(latency_ms, 0.5) OVER (ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM t) x GROUP BY s)
 SELECT s AS "Timestamp", users AS "User Count", rate AS "Requests/s", failed AS "Failures/s", """
     + ", ".join(f'"{p}"' for p in PERCENTILES)
     + """,
-  CAST(n AS BIGINT) AS "Total Request Count", CAST(f AS BIGINT) AS "Total Failure Count", CAST(l AS DOUBLE) / n AS "Total Average Response Time",
+  CAST(n AS BIGINT) AS "Total Request Count", CAST(f AS BIGINT) AS "Total Failure Count", m AS "Total Median Response Time", CAST(l AS DOUBLE) / n AS "Total Average Response Time",
   lo AS "Total Min Response Time", hi AS "Total Max Response Time", CAST(b AS DOUBLE) / n AS "Total Average Content Size"
-FROM run JOIN rolling USING (s)""",
+FROM run JOIN rolling USING (s) JOIN medians USING (s)""",
 )
 def w3(spark, sf_dir):
     out = traffic.traffic_history(_traffic(spark, sf_dir))
