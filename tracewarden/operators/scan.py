@@ -4,6 +4,9 @@ A rule table is known when the job is planned, so it is compiled into projection
 per value, each rule becomes a predicate with a literal pattern (compiled once per task, not once per value), and the
 matching rules come out of one ``explode``. Targets are neither shuffled nor joined. A projection holds a batch of rules;
 a larger table is the union of several, each by the same code, so any number of rules gives the same matches.
+
+Only so many rules and phrases are compiled. Beyond that, phrase rules are found by joins with an inverted index
+(``phrase_index``), with the same matches; other rules must be compiled, and too many of them are an error.
 """
 
 from __future__ import annotations
@@ -17,10 +20,17 @@ from tracewarden.config import ScanConfig
 from tracewarden.functions import transforms as N
 from tracewarden.functions.features import header, header_values
 from tracewarden.functions.predicates import match
-from tracewarden.operators.targets import count_name, explode_targets, with_counts
+from tracewarden.operators.phrase_index import is_phrase_rule, phrase_rule_scan
+from tracewarden.operators.targets import COLLECTIONS, count_name, explode_targets, with_counts
+from tracewarden.session import bounded_rows
 
 #: Rules of one projection.
 RULE_BATCH = 2000
+#: Rules that are compiled, and listed phrases that become literals. Beyond either, phrase rules go through the index.
+MOST_COMPILED = 10_000
+MOST_LITERALS = 10_000
+#: Links of a chain: the links seen are bits of one number.
+MOST_LINKS = 31
 
 
 def rules_for(rules: DataFrame, config: ScanConfig) -> DataFrame:
@@ -45,14 +55,32 @@ def exclude_rules(
 
 
 def phrase_lists(phrases: DataFrame | None) -> dict[str, list[str]]:
-    """Phrases by list name; they become literals of the plan, as the rules do."""
+    """Phrases by list name, at most ``MOST_LITERALS``; they become literals of the plan, as the rules do."""
     lists: dict[str, list[str]] = {}
-    for row in phrases.toLocalIterator() if phrases is not None else ():
+    for row in bounded_rows(phrases.filter("phrase IS NOT NULL"), MOST_LITERALS, "literal phrases") if phrases is not None else ():
         lists.setdefault(row["list_name"], []).append(row["phrase"])
     return lists
 
 
+def split_rules(rules: DataFrame, phrases: DataFrame | None) -> tuple[list[Row], dict[str, list[str]], DataFrame | None]:
+    """Rules to compile, their phrase lists, and the rules for the phrase index, if there are too many to compile.
+
+    All rules are compiled while they and the listed phrases are few. Otherwise rules that look for phrases leave the
+    plan; lists named by a negated rule stay literals.
+    """
+    few = rules.limit(MOST_COMPILED + 1).collect()
+    listed = phrases is not None and any(r["operator"] == "pmFromFile" for r in few)
+    if len(few) <= MOST_COMPILED and not (listed and len(phrases.select("list_name").take(MOST_LITERALS + 1)) > MOST_LITERALS):
+        return few, phrase_lists(phrases) if listed else {}, None
+    rest = bounded_rows(rules.filter(~F.coalesce(is_phrase_rule(), F.lit(False))), MOST_COMPILED, "rules other than phrase rules")
+    named = sorted({name for r in rest if r["operator"] == "pmFromFile" for name in r["argument"].split()})
+    lists = phrase_lists(phrases.filter(F.col("list_name").isin(*named))) if named and phrases is not None else {}
+    return rest, lists, rules.filter(is_phrase_rule())
+
+
 def rule_code(rule_id: int, link: int | None) -> int:
+    if (link or 0) > MOST_LINKS:
+        raise ValueError(f"rule {rule_id}: more than {MOST_LINKS} links in a chain")
     return rule_id * 100 + (link or 0)
 
 
@@ -138,13 +166,20 @@ def rule_scan(targets: DataFrame, rules: DataFrame, phrases: DataFrame | None =
     Rules on counts (``is_count``) compare how many targets of a collection, by name where ``name_filter`` is set, a key
     has; the keys are those that have any target in ``targets``. Unknown operators are an error.
     """
-    found = rules.collect()
-    if not found:
+    found, lists, indexed = split_rules(rules, phrases)
+    counted = _counted(found)
+    parts = [] if indexed is None else [phrase_rule_scan(targets, indexed, phrases, key)]
+    if found:
+        parts.append(_scan_batches(with_counts(targets, counted, key), found, lists, key, batch))
+    if not parts:
         return targets.limit(0).select(
             key, F.lit(0).alias("rule_id"), F.lit(0).alias("chain_link"), "collection", "name", "value"
         )
-    counted = sorted({(c, r["name_filter"]) for r in found if r["is_count"] for c in r["collections"]}, key=str)
-    return _scan_batches(with_counts(targets, counted, key), found, phrase_lists(phrases), key, batch)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _counted(rules: list[Row]) -> list[tuple[str, str | None]]:
+    return sorted({(c, r["name_filter"]) for r in rules if r["is_count"] for c in r["collections"]}, key=str)
 
 
 def scan_requests(requests: DataFrame, rules: DataFrame, phrases: DataFrame | None = None, config: ScanConfig = ScanConfig(), key: str = "req_id") -> DataFrame:
@@ -153,16 +188,20 @@ def scan_requests(requests: DataFrame, rules: DataFrame, phrases: DataFrame | No
     gated = response_gate(scan_gate(requests, config, key), config)
     if config.skip_response:
         chosen = chosen.filter(F.col("direction") != "outbound")
-    found = chosen.collect()
-    if not found:
+    found, lists, indexed = split_rules(chosen, phrases)
+    parts = []
+    if indexed is not None:
+        collections = [r[0] for r in indexed.select(F.explode("collections")).distinct().limit(len(COLLECTIONS) + 1).collect()]
+        parts.append(phrase_rule_scan(explode_targets(gated, sorted(collections), key), indexed, phrases, key))
+    if found:
+        # the rules are on the driver: their collections and chains need no further jobs
+        plain = sorted({c for r in found if not r["is_count"] for c in r["collections"]})
+        parts.append(_scan_batches(explode_targets(gated, plain, key, _counted(found)), found, lists, key, RULE_BATCH))
+    if not parts:
         return rule_scan(explode_targets(gated, None, key), chosen, phrases, key)
-    # the rules are on the driver: their collections and chains need no further jobs
-    plain = sorted({c for r in found if not r["is_count"] for c in r["collections"]})
-    counted = sorted({(c, r["name_filter"]) for r in found if r["is_count"] for c in r["collections"]}, key=str)
-    targets = explode_targets(gated, plain, key, counted)
-    uses_lists = any(r["operator"] == "pmFromFile" for r in found)
-    matches = _scan_batches(targets, found, phrase_lists(phrases) if uses_lists else {}, key, RULE_BATCH)
-    return complete_chains(matches, chosen, key) if any((r["chain_len"] or 1) > 1 for r in found) else matches
+    matches = reduce(lambda a, b: a.unionByName(b), parts)
+    chained = indexed is not None or any((r["chain_len"] or 1) > 1 for r in found)
+    return complete_chains(matches, chosen, key) if chained else matches
 
 
 def complete_chains(matches: DataFrame, rules: DataFrame, key: str = "req_id") -> DataFrame:
