@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewarden.config import CATEGORIES, ScanConfig
-from tracewarden.operators import policy, scan, scoring
+from tracewarden.operators import phrase_index, policy, scan, scoring
 from tracewarden.operators.targets import explode_targets
 from tracewarden.plans import rule_pack, views
 from tracewarden.plans.registry import register
@@ -244,6 +244,39 @@ def j1_large(spark, sf_dir):
     return scan.rule_scan(targets, rules, rule_pack.phrases(spark), batch=10).select(*_MATCH_COLUMNS)
 
 
+_PHRASE_RULES = [r for r in _ALL_RULES if r["operator"] in ("pm", "pmFromFile") and not r["negate"]]
+
+
+@register("j1_phrase_rules_by_index", matches_cte(_PHRASE_RULES) + f"SELECT {', '.join(_MATCH_COLUMNS)} FROM matches")
+def j1_phrases(spark, sf_dir):
+    """The phrase rules by the path that takes lists and rules of any number."""
+    targets = _targets(spark, sf_dir, _pack_collections(_PHRASE_RULES))
+    rules = spark.createDataFrame(_ALL_RULES, RULES)
+    return phrase_index.phrase_rule_scan(targets, rules, rule_pack.phrases(spark)).select(*_MATCH_COLUMNS)
+
+
+_REFUSED = _operator_rule(21, "ARGS", "pmFromFile", "refused")
+_REFUSED["collections"] = ["ARGS", "REQUEST_URI", "REQUEST_BODY", "REQUEST_COOKIES"]
+
+
+@register(
+    "m03_phrase_table",
+    TARGET_CTE
+    + """, refused AS (SELECT DISTINCT lower(t.value) AS phrase FROM targets t JOIN requests r USING (req_id) WHERE r.status = 403 AND t.collection = 'ARGS' AND t.value <> ''),
+texts AS (SELECT DISTINCT lower(value) AS text FROM targets WHERE collection IN ('ARGS', 'REQUEST_URI', 'REQUEST_BODY', 'REQUEST_COOKIES')),
+hits AS (SELECT text FROM texts WHERE EXISTS (SELECT 1 FROM refused WHERE contains(text, phrase)))
+SELECT req_id, CAST(990021 AS INT) AS rule_id, CAST(0 AS INT) AS chain_link, collection, name, value FROM targets JOIN hits ON lower(value) = text
+WHERE collection IN ('ARGS', 'REQUEST_URI', 'REQUEST_BODY', 'REQUEST_COOKIES')""",
+)
+def m03_table(spark, sf_dir):
+    """Every argument of a refused request is a phrase of the list: a list that grows with the traffic."""
+    requests = views.requests(spark, sf_dir)
+    refused = explode_targets(requests.filter(_C("status") == 403), ["ARGS"]).filter(_C("value") != "")
+    phrases = refused.select(F.lit("refused").alias("list_name"), F.col("value").alias("phrase"))
+    rules = spark.createDataFrame([_REFUSED], RULES)
+    return phrase_index.phrase_rule_scan(explode_targets(requests, _REFUSED["collections"]), rules, phrases).select(*_MATCH_COLUMNS)
+
+
 @register("m09_count_rule", matches_cte(_COUNT_RULES) + f"SELECT {', '.join(_MATCH_COLUMNS)} FROM matches")
 def m09_count(spark, sf_dir):
     rules = spark.createDataFrame(_COUNT_RULES, RULES)
