@@ -20,8 +20,11 @@ from tracewarden.config import ScanConfig
 from tracewarden.functions import transforms as N
 from tracewarden.functions.features import header, header_values
 from tracewarden.functions.predicates import match
+from tracewarden.operators import scoring
 from tracewarden.operators.phrase_index import is_phrase_rule, phrase_rule_scan
-from tracewarden.operators.targets import COLLECTIONS, count_name, explode_targets, with_counts
+from tracewarden.operators.row_scan import explode_matches, with_matches
+from tracewarden.operators.rule_forms import chains_of, collections_of, in_scope, rule_code, uses_captures
+from tracewarden.operators.targets import COLLECTIONS, explode_targets, with_counts
 from tracewarden.session import bounded_rows
 
 #: Rules of one projection.
@@ -29,8 +32,6 @@ RULE_BATCH = 2000
 #: Rules that are compiled, and listed phrases that become literals. Beyond either, phrase rules go through the index.
 MOST_COMPILED = 10_000
 MOST_LITERALS = 10_000
-#: Links of a chain: the links seen are bits of one number.
-MOST_LINKS = 31
 
 
 def rules_for(rules: DataFrame, config: ScanConfig) -> DataFrame:
@@ -75,32 +76,11 @@ def split_rules(rules: DataFrame, phrases: DataFrame | None) -> tuple[list[Row],
     rest = bounded_rows(rules.filter(~F.coalesce(is_phrase_rule(), F.lit(False))), MOST_COMPILED, "rules other than phrase rules")
     named = sorted({name for r in rest if r["operator"] == "pmFromFile" for name in r["argument"].split()})
     lists = phrase_lists(phrases.filter(F.col("list_name").isin(*named))) if named and phrases is not None else {}
-    return rest, lists, rules.filter(is_phrase_rule())
-
-
-def rule_code(rule_id: int, link: int | None) -> int:
-    if (link or 0) > MOST_LINKS:
-        raise ValueError(f"rule {rule_id}: more than {MOST_LINKS} links in a chain")
-    return rule_id * 100 + (link or 0)
-
-
-def collections_of(rule: Row) -> list[str]:
-    """The collections a rule looks at; a rule on counts looks at the counted collections instead of their values."""
-    return [count_name(c, rule["name_filter"]) for c in rule["collections"]] if rule["is_count"] else rule["collections"]
-
-
-def _in_scope(rule: Row) -> list[Column]:
-    """Conditions on the target's name; the collection is settled by the dispatch."""
-    if rule["is_count"]:
-        return []
-    scope = [F.col("name").rlike(rule["name_filter"])] if rule["name_filter"] else []
-    for out in rule["excluded"] or ():
-        scope.append(~((F.col("collection") == out["collection"]) & F.col("name").rlike(out["name"])))
-    return scope
-
-
-def _chains_of(rule: Row) -> list[tuple[str, ...]]:
-    return N.chain_prefixes(rule["transforms"]) if rule["multi_match"] else [N.effective_chain(rule["transforms"])]
+    handed = {r["rule_id"] for r in rest if uses_captures(r)}
+    indexed = rules.filter(is_phrase_rule())
+    if handed and indexed.filter(F.col("rule_id").isin(*handed)).take(1):
+        raise ValueError("a chain that hands captured texts on cannot name phrase lists beyond the literal ones")
+    return rest, lists, indexed
 
 
 @cache
@@ -110,9 +90,11 @@ def _normalised(column: str, chain: tuple[str, ...]) -> Column:
 
 def compile_scan(targets: DataFrame, rules: list[Row], phrases: dict[str, list[str]], key: str = "req_id") -> DataFrame:
     """``rule_scan`` with the rules already on the driver; used by the streaming form as well."""
+    if any(uses_captures(rule) for rule in rules):
+        raise ValueError("rules that use other parts of the request or captured texts need scan_requests")
     scanned: dict[tuple[str, ...], set[str]] = {}
     for rule in rules:
-        for chain in _chains_of(rule):
+        for chain in chains_of(rule):
             scanned.setdefault(chain, set()).update(collections_of(rule))
     columns = {chain: f"__v{i}" for i, chain in enumerate(scanned)}
     used = sorted({c for rule in rules for c in collections_of(rule)})
@@ -130,10 +112,10 @@ def compile_scan(targets: DataFrame, rules: list[Row], phrases: dict[str, list[s
     for rule in rules:
         tests = [
             match(rule["operator"], F.col(columns[chain]), rule["argument"], bool(rule["negate"]), phrases)
-            for chain in _chains_of(rule)
+            for chain in chains_of(rule)
         ]
         code = F.lit(rule_code(rule["rule_id"], rule["chain_link"])).cast("long")
-        conditions = [*_in_scope(rule), reduce(lambda a, b: a | b, tests)]
+        conditions = [*in_scope(rule, F.col("collection"), F.col("name")), reduce(lambda a, b: a | b, tests)]
         hits.append(F.when(reduce(lambda a, b: a & b, conditions), code))
     # a target is tested against the rules of its own collection only; collections with the same rules share an array
     by_rules: dict[tuple[int, ...], list[str]] = {}
@@ -190,6 +172,11 @@ def scan_requests(requests: DataFrame, rules: DataFrame, phrases: DataFrame | No
         chosen = chosen.filter(F.col("direction") != "outbound")
     found, lists, indexed = split_rules(chosen, phrases)
     parts = []
+    # chains that hand a captured text on are followed inside the request row
+    handed = {r["rule_id"] for r in found if uses_captures(r)}
+    if handed:
+        parts.append(explode_matches(with_matches(gated, [r for r in found if r["rule_id"] in handed], lists), key))
+        found = [r for r in found if r["rule_id"] not in handed]
     if indexed is not None:
         collections = [r[0] for r in indexed.select(F.explode("collections")).distinct().limit(len(COLLECTIONS) + 1).collect()]
         parts.append(phrase_rule_scan(explode_targets(gated, sorted(collections), key), indexed, phrases, key))
@@ -201,7 +188,26 @@ def scan_requests(requests: DataFrame, rules: DataFrame, phrases: DataFrame | No
         return rule_scan(explode_targets(gated, None, key), chosen, phrases, key)
     matches = reduce(lambda a, b: a.unionByName(b), parts)
     chained = indexed is not None or any((r["chain_len"] or 1) > 1 for r in found)
-    return complete_chains(matches, chosen, key) if chained else matches
+    return complete_chains(matches, chosen.filter(~F.col("rule_id").isin(*handed)), key) if chained else matches
+
+
+def score_in_rows(requests: DataFrame, rules: DataFrame, phrases: DataFrame | None = None, config: ScanConfig = ScanConfig(), key: str = "req_id") -> DataFrame:
+    """Key and scores of every request, as ``complete_scores`` of ``score_requests`` of ``scan_requests`` gives them.
+
+    Matches stay in the request's row, so nothing shuffles; only if phrase rules must go through the index, their matches
+    are brought together by request. Each row is scored by itself, so the key should be unique.
+    """
+    chosen = rules_for(rules, config)
+    if config.skip_response:
+        chosen = chosen.filter(F.col("direction") != "outbound")
+    found, lists, indexed = split_rules(chosen, phrases)
+    if indexed is not None:
+        scores = scoring.score_requests(scan_requests(requests, rules, phrases, config, key), rules, config, key)
+        return scoring.complete_scores(requests, scores, key)
+    rows = with_matches(response_gate(requests, config), found, lists, "__matches")
+    none = F.slice("__matches", 1, 0)
+    rows = rows.withColumn("__matches", F.when(_looked_at(requests, config, key), F.col("__matches")).otherwise(none))
+    return scoring.score_rows(rows, config, "__matches").select(key, *scoring.SCORE_COLUMNS)
 
 
 def complete_chains(matches: DataFrame, rules: DataFrame, key: str = "req_id") -> DataFrame:
@@ -280,8 +286,14 @@ def sample_requests(requests: DataFrame, pct: int, key: str = "req_id") -> DataF
     return requests if pct >= 100 else requests.filter(sampled(F.col(key), pct))
 
 
+def _looked_at(requests: DataFrame, config: ScanConfig, key: str) -> Column:
+    """Requests that are scanned: none of the server itself, and the sample."""
+    chosen = ~is_internal(requests)
+    return chosen if config.sampling_pct >= 100 else chosen & sampled(F.col(key), config.sampling_pct)
+
+
 def scan_gate(requests: DataFrame, config: ScanConfig, key: str = "req_id") -> DataFrame:
-    return sample_requests(requests.filter(~is_internal(requests)), config.sampling_pct, key)
+    return requests.filter(_looked_at(requests, config, key))
 
 
 def is_compressed(headers: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,27 +44,44 @@ def _with_facts(matches: DataFrame, facts: DataFrame) -> DataFrame:
     return matches.join(F.broadcast(facts) if few else facts, "rule_id")
 
 
+def _measures(config: ScanConfig, of: Callable[[str], Column]) -> dict[str, Column]:
+    """Which matches each score counts; ``of`` gives a fact of the match's rule."""
+    inbound, outbound = of("direction") == "inbound", of("direction") == "outbound"
+    level, found = of("pl"), {}
+    for side, mask in (("inbound", inbound), ("outbound", outbound)):
+        found.update({f"{side}_pl{n}": mask & (level == n) for n in LEVELS})
+        found[f"blocking_{side}"] = mask & (level <= config.blocking_pl)
+        found[f"detection_{side}"] = mask & (level <= config.detection_level)
+    found["early_inbound"] = inbound & (level <= config.blocking_pl) & (of("phase") == 1)
+    return found | {f"{name}_score": of("score_var") == name for name in CATEGORIES}
+
+
 def score_requests(matches: DataFrame, rules: DataFrame, config: ScanConfig = ScanConfig(), key: str = "req_id") -> DataFrame:
     """Per request: sums by direction and level, by category, blocking and detection totals, and the header phase alone.
 
     One aggregation on the request id; partial sums are formed before the shuffle.
     """
     pointed = point_matches(matches, rules, config)
-    p = F.col("points")
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("points"))), F.lit(0)).cast("long")
+    return pointed.groupBy(key).agg(*(total(condition).alias(name) for name, condition in _measures(config, F.col).items()))
 
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, p)), F.lit(0)).cast("long")
 
-    inbound, outbound = F.col("direction") == "inbound", F.col("direction") == "outbound"
-    level = F.col("pl")
-    aggs = []
-    for side, mask in (("inbound", inbound), ("outbound", outbound)):
-        aggs += [total(mask & (level == n)).alias(f"{side}_pl{n}") for n in LEVELS]
-        aggs.append(total(mask & (level <= config.blocking_pl)).alias(f"blocking_{side}"))
-        aggs.append(total(mask & (level <= config.detection_level)).alias(f"detection_{side}"))
-    aggs.append(total(inbound & (level <= config.blocking_pl) & (F.col("phase") == 1)).alias("early_inbound"))
-    aggs += [total(F.col("score_var") == name).alias(f"{name}_score") for name in CATEGORIES]
-    return pointed.groupBy(key).agg(*aggs)
+def score_rows(rows: DataFrame, config: ScanConfig = ScanConfig(), matches: str = "matches") -> DataFrame:
+    """The scores of ``score_requests`` from the array of matches in each row (``row_scan.with_matches``): no shuffle.
+
+    Every row is kept; one without matches scores zero.
+    """
+
+    def total(name: str) -> Column:
+        def add(so_far: Column, m: Column) -> Column:
+            counted = _measures(config, lambda fact: m[fact])[name]
+            return so_far + F.when(counted, m["points"]).otherwise(0)
+
+        return F.aggregate("__pointed", F.lit(0).cast("long"), add)
+
+    facts = ("pl", "direction", "phase", "score_var")
+    pointed = F.transform(matches, lambda m: F.struct(*(m[n].alias(n) for n in facts), severity_points(m["severity"], config).alias("points")))
+    return rows.withColumn("__pointed", pointed).withColumns({name: total(name) for name in SCORE_COLUMNS}).drop("__pointed")
 
 
 SCORE_COLUMNS = (

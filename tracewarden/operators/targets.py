@@ -154,6 +154,15 @@ def _checked(collections) -> None:
         raise ValueError(f"unknown collections: {sorted(unknown)}")
 
 
+def target_column(collections: list[str], counted: list[tuple[str, str | None]] = ()) -> Column:
+    """All targets of the named collections as one array, and one element per counted collection."""
+    _checked([*collections, *(c for c, _ in counted)])
+    arrays = [target_array(c) for c in COLLECTIONS if c in set(collections)]
+    for collection, pattern in counted:
+        arrays.append(F.array(_target(count_name(collection, pattern), F.lit(""), F.size(_named(target_array(collection), pattern)))))
+    return F.concat(*arrays) if arrays else F.expr(_EMPTY)
+
+
 def explode_targets(
     requests: DataFrame, collections: list[str] | None = None, key: str = "req_id", counted: list[tuple[str, str | None]] = ()
 ) -> DataFrame:
@@ -162,14 +171,11 @@ def explode_targets(
     ``counted`` adds one row per request with the number of targets of a collection, zero included, whose name matches a
     pattern where one is given.
     """
-    wanted = COLLECTIONS if collections is None else [c for c in COLLECTIONS if c in set(collections)]
-    _checked([*(collections or ()), *(c for c, _ in counted)])
+    wanted = COLLECTIONS if collections is None else collections
+    targets = target_column(wanted, counted)
     if not wanted and not counted:
         return requests.select(key).withColumns({"collection": F.lit(""), "name": F.lit(""), "value": F.lit("")}).limit(0)
-    arrays = [target_array(c) for c in wanted]
-    for collection, pattern in counted:
-        arrays.append(F.array(_target(count_name(collection, pattern), F.lit(""), F.size(_named(target_array(collection), pattern)))))
-    return requests.select(key, F.explode(F.concat(*arrays)).alias("t")).select(
+    return requests.select(key, F.explode(targets).alias("t")).select(
         key, F.col("t.collection").alias("collection"), F.col("t.name").alias("name"), F.col("t.value").alias("value")
     )
 

@@ -307,8 +307,7 @@ SELECT req_id, CASE WHEN waf IS NOT NULL OR verdict = 'malicious' THEN 'deny' EL
 )
 def d19(spark, sf_dir):
     requests, config, rules = views.requests(spark, sf_dir), ScanConfig(blocking_pl=1, detection_pl=4), rule_pack.rules(spark)
-    matches = scan.scan_requests(requests, rules, rule_pack.phrases(spark), config)
-    decided = scoring.decide_waf(scoring.complete_scores(requests, scoring.score_requests(matches, rules, config)), config)
+    decided = scoring.decide_waf(scan.score_in_rows(requests, rules, rule_pack.phrases(spark), config), config)
     combined = verdicts.combine_verdicts(verdicts.attach_verdicts(decided, _verdicts(spark, sf_dir)))
     return combined.select("req_id", "final_action", "final_rule", "final_status")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewarden.config import CATEGORIES, ScanConfig
-from tracewarden.operators import phrase_index, policy, scan, scoring
+from tracewarden.operators import phrase_index, policy, row_scan, scan, scoring
 from tracewarden.operators.targets import explode_targets
 from tracewarden.plans import rule_pack, views
 from tracewarden.plans.registry import register
@@ -387,6 +387,40 @@ def j5_capture(spark, sf_dir):
     return scan.capture_chain(referer, host, _C("value") != _C("captured")).select("req_id", _C("value").alias("host"))
 
 
+_FROM_ELSEWHERE = [
+    _operator_rule(31, "ARGS_NAMES", "rx", "^(?:sessionid|user)$", chain_id=990031, chain_link=1, chain_len=3),
+    _operator_rule(31, "REQUEST_HEADERS", "rx", "^(https?)://([^/]*)/", chain_id=990031, chain_link=2, chain_len=3, name_filter="^Referer$", capture=True),
+    _operator_rule(31, "TX:2", "endsWith", "%{request_headers.host}", chain_id=990031, chain_link=3, chain_len=3, negate=True),
+    _operator_rule(32, "REQUEST_HEADERS", "rx", "^https?://([^/]*)/", chain_id=990032, chain_link=1, chain_len=2, name_filter="^Referer$", capture=True),
+    _operator_rule(32, "REQUEST_HEADERS", "streq", "%{tx.1}", chain_id=990032, chain_link=2, chain_len=2, name_filter="^Host$"),
+]
+
+
+@register(
+    "j5_captures_by_rules",
+    views.cte("requests")
+    + """, r AS (SELECT q.*, regexp_extract(referer, '^https?://([^/]*)/', 1) AS site FROM requests q WHERE regexp_matches(referer, '^https?://([^/]*)/')),
+named AS (SELECT DISTINCT req_id FROM ("""
+    + TARGET_CTE
+    + """SELECT * FROM targets) t WHERE collection = 'ARGS_NAMES' AND regexp_matches(value, '^(?:sessionid|user)$'))
+SELECT req_id, CAST(990031 AS INT) AS rule_id, CAST(3 AS INT) AS chain_link, 'TX' AS collection, '2' AS name, site AS value FROM r JOIN named USING (req_id)
+WHERE NOT ends_with(site, coalesce(host, ''))
+UNION ALL SELECT req_id, CAST(990032 AS INT), CAST(2 AS INT), 'REQUEST_HEADERS', 'Host', host FROM r WHERE host = site""",
+)
+def j5_rules(spark, sf_dir):
+    """Links that look at a captured text, or compare with one, straight from the rule table."""
+    rules = spark.createDataFrame(_FROM_ELSEWHERE, RULES)
+    return scan.scan_requests(views.requests(spark, sf_dir), rules).select(*_MATCH_COLUMNS)
+
+
+@register("j5_chains_in_rows", completed_cte(rule_pack.PACK) + f"SELECT {', '.join(_MATCH_COLUMNS)} FROM done")
+def j5_in_rows(spark, sf_dir):
+    """The whole pack scanned within the request rows, chains completed without a shuffle."""
+    rules, lists = rule_pack.rules(spark).collect(), scan.phrase_lists(rule_pack.phrases(spark))
+    requests = scan.response_gate(views.requests(spark, sf_dir))
+    return row_scan.explode_matches(row_scan.with_matches(requests, rules, lists)).select(*_MATCH_COLUMNS)
+
+
 _LFI = [r for r in rule_pack.PACK if r["rule_id"] == 930901]
 
 
@@ -618,7 +652,8 @@ _TOTALS = ["blocking_inbound", "detection_inbound", "blocking_outbound", "detect
     SCORE_CTE + f"SELECT r.req_id, {', '.join(f'coalesce({t}, 0) AS {t}' for t in _TOTALS)} FROM requests r LEFT JOIN scores USING (req_id)",
 )
 def a3(spark, sf_dir):
-    return scoring.complete_scores(views.requests(spark, sf_dir), _scores(spark, sf_dir)).select("req_id", *_TOTALS)
+    scores = scan.score_in_rows(views.requests(spark, sf_dir), rule_pack.rules(spark), rule_pack.phrases(spark), _BOTH)
+    return scores.select("req_id", *_TOTALS)
 
 
 @register("a4_category_scores", SCORE_CTE + f"SELECT req_id, {', '.join(c + '_score' for c in CATEGORIES)} FROM scores")
