@@ -7,6 +7,7 @@ which earlier links captured, as targets (``TX:1``) or within its argument (``%{
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
@@ -17,9 +18,9 @@ from tracewarden.functions.predicates import match
 from tracewarden.operators import rule_forms as R
 from tracewarden.operators.targets import target_column
 
-FACTS = ("pl", "direction", "phase", "score_var", "severity")
-_FACT_TYPES = {"pl": "int", "direction": "string", "phase": "int", "score_var": "string", "severity": "string"}
-_MATCH = "struct<rule_id: int, chain_link: int, collection: string, name: string, value: string, " + ", ".join(f"{n}: {t}" for n, t in _FACT_TYPES.items()) + ">"
+_OF_RULE = {"rule_id": "int", "chain_link": "int", "pl": "int", "direction": "string", "phase": "int", "score_var": "string", "severity": "string"}
+_RULE = "struct<" + ", ".join(f"{n}: {t}" for n, t in _OF_RULE.items()) + ">"
+_MATCH = _RULE[:-1] + ", collection: string, name: string, value: string>"
 
 
 def _empty() -> Column:
@@ -60,12 +61,14 @@ def _all(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def _match(rule: Row, t: Column, facts: Row) -> Column:
-    of_rule = [F.lit(facts[n]).cast(_FACT_TYPES[n]).alias(n) for n in FACTS]
-    return F.struct(
-        F.lit(rule["rule_id"]).cast("int").alias("rule_id"), F.lit(rule["chain_link"] or 0).cast("int").alias("chain_link"),
-        t["collection"].alias("collection"), t["name"].alias("name"), t["value"].alias("value"), *of_rule,
-    )
+def _facts(rules: list[Row]) -> Column:
+    """One literal array for the facts of all rules; a match looks its own up by the rule's place."""
+    rows = [{n: r[n] if n != "chain_link" else r[n] or 0 for n in _OF_RULE} for r in rules]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE}>")
+
+
+def _match(t: Column, facts: Column) -> Column:
+    return F.struct(*(facts[n].alias(n) for n in _OF_RULE), *(t[n].alias(n) for n in ("collection", "name", "value")))
 
 
 def _test(rule: Row, text: Column, lists: dict[str, list[str]], captured: Column) -> Column:
@@ -76,23 +79,27 @@ def _test(rule: Row, text: Column, lists: dict[str, list[str]], captured: Column
 
 def _plain_matches(rules: list[Row], forms: Column, fields: dict[tuple[str, ...], str], lists: dict[str, list[str]]) -> Column:
     """Matches of rules without chains. An element meets the rules of its collection only."""
+    none, facts = F.lit(None).cast("array<string>"), _facts(rules)
     by_rules: dict[tuple[int, ...], list[str]] = {}
     for name in sorted({c for rule in rules for c in R.collections_of(rule)}):
         by_rules.setdefault(tuple(i for i, rule in enumerate(rules) if name in R.collections_of(rule)), []).append(name)
 
     def found(t: Column) -> Column:
-        def hit(rule: Row) -> Column:
-            tests = [_test(rule, t[fields[chain]], lists, F.lit(None).cast("array<string>")) for chain in R.chains_of(rule)]
-            return F.when(_all([*R.in_scope(rule, t["collection"], t["name"]), _any(tests)]), _match(rule, t, rule))
+        def hit(place: int) -> Column:
+            rule = rules[place]
+            tests = [_test(rule, t[fields[chain]], lists, none) for chain in R.chains_of(rule)]
+            return F.when(_all([*R.in_scope(rule, t["collection"], t["name"]), _any(tests)]), F.lit(place))
 
-        arms = [F.when(t["collection"].isin(*names), F.array_compact(F.array(*(hit(rules[i]) for i in group)))) for group, names in by_rules.items()]
-        return F.coalesce(*arms, _empty())
+        hits = {place: hit(place) for place in range(len(rules))}
+        arms = [F.when(t["collection"].isin(*names), F.array_compact(F.array(*(hits[i] for i in group)))) for group, names in by_rules.items()]
+        places = F.coalesce(*arms, F.expr("cast(array() as array<int>)"))
+        return F.transform(places, lambda place: _match(t, F.get(facts, place)))
 
     return F.flatten(F.transform(forms, found))
 
 
-def _link(rule: Row, last: Row, forms: Column, fields: dict[tuple[str, ...], str], lists: dict[str, list[str]], captured: Column) -> Column:
-    """Matches of one link, each with the text in which it matched."""
+def _link(rule: Row, forms: Column, fields: dict[tuple[str, ...], str], lists: dict[str, list[str]], captured: Column) -> Column:
+    """Targets that match one link, each with the text in which it matched."""
     chains = R.chains_of(rule)
 
     def hits(targets: Column, form) -> Column:
@@ -101,7 +108,7 @@ def _link(rule: Row, last: Row, forms: Column, fields: dict[tuple[str, ...], str
             texts = [F.when(_test(rule, form(t, chain), lists, captured), form(t, chain)) for chain in chains]
             text = F.coalesce(*texts)
             there = _all([*scope, text.isNotNull()])
-            return F.when(there, F.struct(_match(rule, t, last).alias("match"), text.alias("text")))
+            return F.when(there, F.struct(*(t[n].alias(n) for n in ("collection", "name", "value")), text.alias("text")))
 
         return F.array_compact(F.transform(targets, look))
 
@@ -152,7 +159,7 @@ def with_matches(requests: DataFrame, rules: list[Row], lists: dict[str, list[st
                 continue
             link, before = links[depth], F.col(f"__h{number}")
             captured = F.col(f"__t{number}") if depth else none
-            hits = _link(link, links[-1], forms, fields, lists, captured)
+            hits = _link(link, forms, fields, lists, captured)
             # size of null is null: after a link without a match the rest of its chain stays null
             found[f"__h{number}"] = F.when(F.size(before) > 0, hits) if depth else hits
             if link["capture"] and link["operator"] == "rx" and not link["negate"]:
@@ -162,7 +169,9 @@ def with_matches(requests: DataFrame, rules: list[Row], lists: dict[str, list[st
                 texts[f"__t{number}"] = none
         rows = rows.withColumns(found).withColumns(texts) if texts else rows.withColumns(found)
     parts = [_plain_matches(plain, forms, fields, lists)] if plain else []
-    parts += [F.coalesce(F.transform(f"__h{n}", lambda h: h["match"]), _empty()) for n in range(len(chains))]
+    for number, links in enumerate(chains.values()):
+        facts = F.get(_facts(links[-1:]), F.lit(0))
+        parts.append(F.coalesce(F.transform(f"__h{number}", lambda h: _match(h, facts)), _empty()))
     rows = rows.withColumn(out, F.concat(*parts))
     return rows.drop("__forms", *(f"__{kind}{n}" for n in range(len(chains)) for kind in "ht"))
 

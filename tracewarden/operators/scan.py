@@ -203,7 +203,7 @@ def score_in_rows(requests: DataFrame, rules: DataFrame, phrases: DataFrame | No
     found, lists, indexed = split_rules(chosen, phrases)
     if indexed is not None:
         scores = scoring.score_requests(scan_requests(requests, rules, phrases, config, key), rules, config, key)
-        return scoring.complete_scores(requests, scores, key)
+        return scoring.complete_scores(requests, scores, key).select(key, *scoring.SCORE_COLUMNS)
     rows = with_matches(response_gate(requests, config), found, lists, "__matches")
     none = F.slice("__matches", 1, 0)
     rows = rows.withColumn("__matches", F.when(_looked_at(requests, config, key), F.col("__matches")).otherwise(none))

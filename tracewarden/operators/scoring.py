@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,16 +43,16 @@ def _with_facts(matches: DataFrame, facts: DataFrame) -> DataFrame:
     return matches.join(F.broadcast(facts) if few else facts, "rule_id")
 
 
-def _measures(config: ScanConfig, of: Callable[[str], Column]) -> dict[str, Column]:
-    """Which matches each score counts; ``of`` gives a fact of the match's rule."""
-    inbound, outbound = of("direction") == "inbound", of("direction") == "outbound"
-    level, found = of("pl"), {}
-    for side, mask in (("inbound", inbound), ("outbound", outbound)):
-        found.update({f"{side}_pl{n}": mask & (level == n) for n in LEVELS})
-        found[f"blocking_{side}"] = mask & (level <= config.blocking_pl)
-        found[f"detection_{side}"] = mask & (level <= config.detection_level)
-    found["early_inbound"] = inbound & (level <= config.blocking_pl) & (of("phase") == 1)
-    return found | {f"{name}_score": of("score_var") == name for name in CATEGORIES}
+def _measures(config: ScanConfig, of: str = "") -> dict[str, str]:
+    """Which matches each score counts, as SQL over the facts of the match's rule; ``of`` is put before their names."""
+    found = {}
+    for side in ("inbound", "outbound"):
+        here = f"{of}direction = '{side}' AND {of}pl"
+        found.update({f"{side}_pl{n}": f"{here} = {n}" for n in LEVELS})
+        found[f"blocking_{side}"] = f"{here} <= {config.blocking_pl}"
+        found[f"detection_{side}"] = f"{here} <= {config.detection_level}"
+    found["early_inbound"] = f"{found['blocking_inbound']} AND {of}phase = 1"
+    return found | {f"{name}_score": f"{of}score_var = '{name}'" for name in CATEGORIES}
 
 
 def score_requests(matches: DataFrame, rules: DataFrame, config: ScanConfig = ScanConfig(), key: str = "req_id") -> DataFrame:
@@ -62,8 +61,8 @@ def score_requests(matches: DataFrame, rules: DataFrame, config: ScanConfig = Sc
     One aggregation on the request id; partial sums are formed before the shuffle.
     """
     pointed = point_matches(matches, rules, config)
-    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("points"))), F.lit(0)).cast("long")
-    return pointed.groupBy(key).agg(*(total(condition).alias(name) for name, condition in _measures(config, F.col).items()))
+    total = lambda counted: F.expr(f"CAST(coalesce(sum(CASE WHEN {counted} THEN points END), 0) AS BIGINT)")
+    return pointed.groupBy(key).agg(*(total(counted).alias(name) for name, counted in _measures(config).items()))
 
 
 def score_rows(rows: DataFrame, config: ScanConfig = ScanConfig(), matches: str = "matches") -> DataFrame:
@@ -72,16 +71,11 @@ def score_rows(rows: DataFrame, config: ScanConfig = ScanConfig(), matches: str
     Every row is kept; one without matches scores zero.
     """
 
-    def total(name: str) -> Column:
-        def add(so_far: Column, m: Column) -> Column:
-            counted = _measures(config, lambda fact: m[fact])[name]
-            return so_far + F.when(counted, m["points"]).otherwise(0)
-
-        return F.aggregate("__pointed", F.lit(0).cast("long"), add)
-
     facts = ("pl", "direction", "phase", "score_var")
     pointed = F.transform(matches, lambda m: F.struct(*(m[n].alias(n) for n in facts), severity_points(m["severity"], config).alias("points")))
-    return rows.withColumn("__pointed", pointed).withColumns({name: total(name) for name in SCORE_COLUMNS}).drop("__pointed")
+    total = lambda counted: F.expr(f"aggregate(__pointed, 0L, (so_far, m) -> so_far + CASE WHEN {counted} THEN m.points ELSE 0 END)")
+    scores = {name: total(counted) for name, counted in _measures(config, "m.").items()}
+    return rows.withColumn("__pointed", pointed).withColumns(scores).drop("__pointed")
 
 
 SCORE_COLUMNS = (

@@ -12,6 +12,7 @@ from tracewarden.config import ScanConfig
 from tracewarden.functions.features import featurise
 from tracewarden.operators import scan, scoring, verdicts
 from tracewarden.operators.traffic import exact_mean
+from tracewarden.session import stored
 
 
 def stream_table(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
@@ -24,24 +25,29 @@ def stream_features(requests: DataFrame, only: list[str] | None = None) -> DataF
 
 
 def stream_scan_score(requests: DataFrame, rules: DataFrame, phrases: DataFrame | None, config: ScanConfig, path: str, checkpoint: str, key: str = "req_id", **trigger) -> StreamingQuery:
-    """Scan, score and decide every micro-batch. A batch writes its own folder, so a repeated batch replaces itself.
+    """Scan, score and decide every request as it comes: a projection of the stream, planned once.
 
-    Rules and phrases are read once, when the stream starts; a batch is read once and released when it is written.
+    Rules and phrases are read when the stream starts. Only if phrase rules must go through the index are micro-batches
+    decided one by one, each into its own folder, so that a repeated batch replaces itself.
     """
-    spark = requests.sparkSession
-    rules = spark.createDataFrame(rules.collect(), rules.schema)
-    phrases = None if phrases is None else spark.createDataFrame(phrases.collect(), phrases.schema)
+    rules = stored(rules, "stream-rules")
+    phrases = None if phrases is None else stored(phrases, "stream-phrases")
+
+    def decided(rows: DataFrame) -> DataFrame:
+        return scoring.decide_waf(scan.score_in_rows(rows, rules, phrases, config, key), config)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            matches = scan.scan_requests(batch, rules, phrases, config, key)
-            scores = scoring.complete_scores(batch, scoring.score_requests(matches, rules, config, key), key)
-            scoring.decide_waf(scores, config).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            decided(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         finally:
             batch.unpersist()
 
-    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    if scan.split_rules(scan.rules_for(rules, config), phrases)[2] is None:
+        out = decided(requests).writeStream.format("parquet").option("path", path)
+    else:
+        out = requests.writeStream.foreachBatch(write)
+    return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_verdicts(requests: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
