@@ -20,7 +20,7 @@ def slow_like(text):
             v = (v ^ v >> 29) * 0x9E3779B97F4A7C15 % 2**64
             v = (v ^ v >> 32) * 0xD6E8FEB86659FD93 % 2**64
             lanes[v >> 57] += 1 if (v >> 56) % 2 == 0 else -1
-    return lanes.astype(np.uint16)
+    return lanes
 
 
 def test_sums_match_a_loop_over_paragraphs():
@@ -40,6 +40,18 @@ def test_order_does_not_matter_and_edits_are_incremental():
     assert MultisetHash.from_hex(a.hex()) == a and MultisetHash.from_hex(a.hex()).likeness(b) == a.likeness(b)
 
 
+@pytest.mark.parametrize("unit, n", [("a", 40_000), ("One sentence that is said again and again. ", 31_000)])
+def test_counts_of_long_repetitive_texts_do_not_wrap(unit, n):
+    text, shorter = unit * n, unit * (n * 3 // 4)
+    long, less, other = MultisetHash.of_many([text, shorter, "Nothing of the kind stands here. " * 40])
+    assert np.abs(long.like).max() > 2**15 - 1
+    assert long.likeness(less) > 0.999 and long.likeness(other) < 0.5
+    assert MultisetHash.from_hex(long.hex()).likeness(less) == long.likeness(less)
+    assert len(other.hex()) < len(long.hex())
+    twice = long.insert(text)
+    assert (twice.like == 2 * long.like).all() and twice.delete(text) == long and twice.delete(text).hex() == long.hex()
+
+
 def check(rows, documents):
     """Documents: (doc_id, text) in the order in which they follow each other."""
     want = []

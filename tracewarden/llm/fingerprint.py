@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.session import bounded_rows
 
-#: A fingerprint is two vectors of sums: one decides equality (modulo 2^32), the other likeness (modulo 2^16).
+#: A fingerprint is two vectors of sums: one decides equality (modulo 2^32), the other likeness (64-bit counts, which do not wrap).
 EQUAL_LANES, LIKE_LANES = 32, 128
 WINDOW = 8
 #: Documents of one bucket of neighbours, and the most buckets (their bounds are kept on the driver).
@@ -33,7 +33,7 @@ class MultisetHash:
 
     def __init__(self, equal: np.ndarray | None = None, like: np.ndarray | None = None):
         self.equal = np.zeros(EQUAL_LANES, np.uint32) if equal is None else equal
-        self.like = np.zeros(LIKE_LANES, np.uint16) if like is None else like
+        self.like = np.zeros(LIKE_LANES, np.int64) if like is None else like
 
     @classmethod
     def of(cls, text: str) -> MultisetHash:
@@ -47,10 +47,13 @@ class MultisetHash:
     @classmethod
     def from_hex(cls, digits: str) -> MultisetHash:
         raw = bytes.fromhex(digits)
-        return cls(np.frombuffer(raw, "<u4", EQUAL_LANES).copy(), np.frombuffer(raw, "<u2", LIKE_LANES, 4 * EQUAL_LANES).copy())
+        width = (len(raw) - 4 * EQUAL_LANES) // LIKE_LANES
+        return cls(np.frombuffer(raw, "<u4", EQUAL_LANES).copy(), np.frombuffer(raw, f"<i{width}", LIKE_LANES, 4 * EQUAL_LANES).astype(np.int64))
 
     def hex(self) -> str:
-        return self.equal.astype("<u4").tobytes().hex() + self.like.astype("<u2").tobytes().hex()
+        """Both vectors; the counts take the fewest bytes (1, 2, 4 or 8 each) that hold all of them."""
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or np.abs(self.like).max() < 1 << 8 * w - 1)
+        return self.equal.astype("<u4").tobytes().hex() + self.like.astype(f"<i{width}").tobytes().hex()
 
     def insert(self, paragraphs: str) -> MultisetHash:
         more = MultisetHash.of(paragraphs)
@@ -67,7 +70,7 @@ class MultisetHash:
         """1 for equal multisets, else the cosine of the second vectors, at least 0."""
         if self == other:
             return 1.0
-        a, b = (x.like.view(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.like.astype(np.float64) for x in (self, other))
         norm = np.sqrt((a @ a) * (b @ b))
         return float(min(1.0, max(0.0, a @ b / norm))) if norm else 0.0
 
@@ -99,7 +102,7 @@ def _like_sums(data: list[bytes]) -> np.ndarray:
     slot = (mixed >> np.uint64(56)).astype(np.int64)  # seven bits of lane, one of sign
     text = np.repeat(np.arange(len(data)), sizes)[at]
     counts = np.bincount(text * 2 * LIKE_LANES + slot, minlength=len(data) * 2 * LIKE_LANES).reshape(len(data), LIKE_LANES, 2)
-    return (counts[:, :, 0] - counts[:, :, 1]).astype(np.uint16)
+    return counts[:, :, 0] - counts[:, :, 1]
 
 
 def edited_text(text: str, following: str) -> str:
@@ -141,7 +144,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. After the last document
     comes the first. Documents with the same id follow each other by their texts; a null id is the smallest; a null text
-    counts as empty; a single document is its own neighbour; an empty table gives no rows.
+    counts as empty; a single document is its own neighbour; an empty table gives no rows. Texts are taken whole, whatever
+    their length: likeness counts do not wrap. Repeated rows follow each other. Other columns are not read.
 
     Documents are dealt to buckets of neighbouring ids; each bucket borrows the first document of the next one, so a task
     streams through its buckets and texts shuffle once.
