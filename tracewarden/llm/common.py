@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import string
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from tracewarden.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 #: Heavy groups are those with at least this share of all rows, so there are at most as many as its inverse.
 HEAVY_SHARE = 1e-3
+#: The columns of documents that operators read by name.
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _STORED: dict[int, tuple[weakref.ref, str]] = {}
 
 
@@ -43,6 +47,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def with_own_names(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let ``work`` (documents to documents) see other columns under names of their own, so that none clashes with its own."""
+
+    @functools.wraps(work)
+    def renamed(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        inner = docs.toDF(*(c if c in DOCUMENT_COLUMNS else f"__column_{i}" for i, c in enumerate(names)))
+        return work(inner, *args, **kwargs).toDF(*names)
+
+    return renamed
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import WORD, join_groups, repeat_rows, row_key, stored, text_or_empty
+from tracewarden.llm.common import WORD, join_groups, repeat_rows, row_key, stored, text_or_empty, with_own_names
 from tracewarden.session import bounded_rows
 
 WEIGHTS = (3, 1, 2)
@@ -151,7 +151,11 @@ def mixing_plan(docs: DataFrame) -> DataFrame:
     return _planned(docs).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@with_own_names
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as the plan says."""
+    """The mix itself: rows of ``docs``, each as often as the plan says; other columns may have any name.
+
+    Rows repeated as a whole count together; nulls, empty texts and an empty table as in ``mixing_plan``.
+    """
     counts = _planned(docs).groupBy("_k1", "_k2").agg(F.count("*").alias("_repeats"), F.sum("copies").alias("_copies"))
     return repeat_rows(docs, stored(counts, "mix-counts"))

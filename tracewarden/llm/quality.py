@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracewarden.llm.common import text_or_empty
+from tracewarden.llm.common import text_or_empty, with_own_names
 from tracewarden.session import bounded_rows
 
 #: Filters see WIDTH bytes; chunks of two blocks overlap by one block and cover the whole text.
@@ -212,8 +212,12 @@ def quality_decisions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scores.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@with_own_names
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns; texts do not shuffle."""
+    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns, whatever their names; texts do not shuffle.
+
+    Null and empty texts are scored like any other, repeated rows each; an empty table stays empty.
+    """
     net = fit_quality(docs, labels)
     schema = StructType([*docs.schema.fields, StructField("_quality_score", DoubleType())])
     scored = docs.select("*", text_or_empty().alias("_quality_text")).mapInArrow(_scored(net, "_quality_score"), schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import components, discard, join_groups, repeat_rows, row_key, stored
+from tracewarden.llm.common import components, discard, join_groups, repeat_rows, row_key, stored, with_own_names
 
 SEED = 42
 #: The tree's balls are fitted on at most this many fingerprints; every fingerprint is then routed through it.
@@ -236,10 +236,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataF
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
+@with_own_names
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """The documents that stay, with all their columns: of each component the row with the smallest id (nulls last).
 
-    Rows that share that id count by a hash of all their columns; of a row repeated as a whole one stays.
+    Rows that share that id count by a hash of all their columns; of a row repeated as a whole one stays. Null, empty and very long
+    texts count as ``near_duplicates`` says; other columns may have any name; an empty table stays empty.
     """
     found = _row_components(docs, words, max_bits)
     rows = found.groupBy("root", "doc_id", "_k1", "_k2").agg(F.count("*").alias("_repeats"))
