@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.config import FeatureConfig
+from tracewarden.operators import codes
 from tracewarden.operators.cleaning import fill_defaults
 from tracewarden.session import bounded_rows
 
@@ -173,10 +174,8 @@ def standardise(df: DataFrame, scaler: Scaler, suffix: str = "_z") -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Code of a category in sorted order, from zero; the code table is bounded."""
-    codes = {c: i for i, c in enumerate(categories(df, column))}
-    table = df.sparkSession.createDataFrame(list(codes.items()), f"`{column}` string, __code int")
-    return df.join(F.broadcast(table), column, "left").withColumnRenamed("__code", out or f"{column}_code")
+    """Code (long) of a category in sorted order, from zero, for any number of categories; null has none."""
+    return codes.with_codes(df, column, codes.code_table(df, column), out or f"{column}_code")
 
 
 def char_vocabulary(df: DataFrame, text: str, order: str) -> DataFrame:

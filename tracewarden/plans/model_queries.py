@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import FeatureConfig, ScanConfig
 from tracewarden.functions.features import featurise
-from tracewarden.operators import evaluate, models, neighbours, ranking, scan, scoring, text_features, verdicts
+from tracewarden.operators import codes, evaluate, models, neighbours, ranking, scan, scoring, text_features, verdicts
 from tracewarden.operators.cleaning import binary_label, scoring_gate
 from tracewarden.plans import jobs, rule_pack, views
 from tracewarden.plans.feature_queries import FEATURE_CTE
@@ -106,7 +106,26 @@ def d4(spark, sf_dir):
 @register("d5_label_encode", "SELECT doc_id, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INT) AS source_code FROM documents")
 def d5(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return text_features.label_encode(docs, "source").select("doc_id", "source_code")
+    return text_features.label_encode(docs, "source").select("doc_id", F.col("source_code").cast("int").alias("source_code"))
+
+
+@register("d5_label_encode_wide", "SELECT event_id, dense_rank() OVER (ORDER BY value) - 1 AS value_code FROM events WHERE value IS NOT NULL UNION ALL SELECT event_id, NULL FROM events WHERE value IS NULL")
+def d5_wide(spark, sf_dir):
+    events = views.table(spark, sf_dir, "events").select("event_id", "value")
+    return text_features.label_encode(events, "value").select("event_id", "value_code")
+
+
+@register(
+    "d3_one_hot_wide",
+    """WITH known AS (SELECT l_partkey, dense_rank() OVER (ORDER BY l_partkey) - 1 AS code FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R') x)
+SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM known) AS width, coalesce(code, -1) AS hot FROM lineitem LEFT JOIN known USING (l_partkey)""",
+)
+def d3_wide(spark, sf_dir):
+    items = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    known = codes.code_table(items.filter("l_returnflag = 'R'"), "l_partkey")
+    v = F.unwrap_udt(F.col("vec"))
+    hot = F.coalesce(F.get(v["indices"], F.lit(0)), F.lit(-1)).cast("long").alias("hot")
+    return codes.one_hot(items, "l_partkey", known, "vec").select("l_orderkey", "l_linenumber", v["size"].cast("long").alias("width"), hot)
 
 
 @register(
