@@ -182,10 +182,12 @@ def test_unknown_operator_is_an_error(spark):
 
 @pytest.mark.parametrize(
     "address, inside",
-    [("2001:db8::1", True), ("2001:DB8:1:2:3:4:5:6", True), ("2001:db9::", False), ("::1", True), ("::2", False), ("10.1.2.3", True), ("11.1.2.3", False), ("x", False), ("1:2", False), (None, False)],
+    [("2001:db8::1", True), ("2001:DB8:1:2:3:4:5:6", True), ("2001:db9::", False), ("::1", True), ("::2", False), ("10.1.2.3", True), ("11.1.2.3", False), ("x", False), ("1:2", False), (None, False)]
+    + [("::ffff:10.0.0.1", True), ("::FFFF:a00:1", True), ("::ffff:11.0.0.1", False), ("2001:db8::10.0.0.1", True), ("64:ff9b::10.0.0.1", False)]
+    + [("10.300.0.1", False), ("::ffff:10.0.0.300", False), ("::0.0.0.1", True), ("192.168.7.7", True), ("::ffff:192.168.8.1", False), ("10.0.0.1:80", False)],
 )
 def test_ip_networks(spark, address, inside):
-    df = spark.createDataFrame([(address,)], "v string").select(F.coalesce(ip_match(F.col("v"), "10.0.0.0/8,2001:db8::/32,::1"), F.lit(False)))
+    df = spark.createDataFrame([(address,)], "v string").select(F.coalesce(ip_match(F.col("v"), "10.0.0.0/8,2001:db8::/32,::1,::ffff:192.168.7.0/120"), F.lit(False)))
     assert df.first()[0] == inside
 
 

@@ -98,14 +98,23 @@ def validate_utf8(v: Column, _: str) -> Column:
     return ~F.is_valid_utf8(v)
 
 
+#: How the digits of an IPv4 address begin that is written as IPv6.
+MAPPED = "0" * 20 + "ffff"
+
+
 def ipv4_number(v: Column) -> Column:
     part = lambda n: F.split_part(v, F.lit("."), F.lit(n)).try_cast("long")
     four = F.length(v) - F.length(F.replace(v, F.lit("."))) == 3
-    return F.when(four, ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
+    inside = part(1).between(0, 255) & part(2).between(0, 255) & part(3).between(0, 255) & part(4).between(0, 255)
+    return F.when(four & inside, ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4))
 
 
 def ipv6_digits(v: Column) -> Column:
-    """The 32 hexadecimal digits of an IPv6 address, null for any other text."""
+    """The 32 hexadecimal digits of an IPv6 address, null for any other text; the last 32 bits may be written as IPv4."""
+    tail = F.substring_index(v, ":", -1)
+    number = ipv4_number(tail)
+    spelled = F.concat(F.left(v, F.length(v) - F.length(tail)), F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(F.lit(65535))))
+    v = F.when(v.contains(".") & v.contains(":"), spelled).otherwise(v)
     halves = F.split(F.lower(v), "::")
     groups = lambda part: F.filter(F.split(F.coalesce(part, F.lit("")), ":"), lambda g: g != "")
     left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
@@ -116,10 +125,15 @@ def ipv6_digits(v: Column) -> Column:
 
 
 def ip_match(v: Column, arg: str) -> Column:
-    """Address inside one of the listed networks: IPv4 by number, IPv6 by its digits."""
-    number, digits, hit = ipv4_number(v), ipv6_digits(v), F.lit(False)
+    """Address inside one of the listed networks: IPv4 by number, IPv6 by its digits; IPv4 mapped into IPv6 counts as IPv4."""
+    digits, hit = ipv6_digits(v), F.lit(False)
+    mapped = F.coalesce(digits.startswith(MAPPED), F.lit(False))
+    number = F.when(mapped, F.conv(F.right(digits, F.lit(8)), 16, 10).cast("long")).otherwise(ipv4_number(v))
+    digits = F.when(~mapped, digits)
     for item in arg.split(","):
         net = ipaddress.ip_network(item.strip(), strict=False)
+        if net.version == 6 and net.prefixlen >= 96 and net.network_address.ipv4_mapped:
+            net = ipaddress.ip_network(f"{net.network_address.ipv4_mapped}/{net.prefixlen - 96}")
         low, high = int(net.network_address), int(net.broadcast_address)
         test = number.between(low, high) if net.version == 4 else digits.between(f"{low:032x}", f"{high:032x}")
         hit = hit | F.coalesce(test, F.lit(False))
