@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from tracewarden.session import bounded_rows, stored
 
 #: References in a block and queries that meet them in one task; both are exceeded only by chance of hashing.
-BLOCK_ROWS, QUERY_ROWS = 2048, 16_384
-#: Pivots (about the root of the references up to here) and rings of a cell: their bounds travel to every task.
+BLOCK_ROWS, QUERY_ROWS = 8192, 16_384
+#: Queries of a task whose distances are taken by one matrix product.
+AT_ONCE = 128
+#: Pivots (a block each, the root of the references and this number at most) and rings of a cell: their bounds travel to every task.
 MOST_PIVOTS, MOST_RINGS = 1024, 64
 
 _FOUND = "q_id bigint, neighbour bigint, distance double, label int"
@@ -98,6 +100,24 @@ def _visits(bounds: _Bounds):
     return run
 
 
+def _near(vectors: np.ndarray, radius: np.ndarray, own: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, reference) that hold the k nearest of each query, its ties and little else.
+
+    Squared distances come from one matrix product; ``room`` is far more than it rounds off. Where squares overflow, all stay.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares, norms = (matrix**2).sum(axis=1), (vectors**2).sum(axis=1)
+        most = np.nan_to_num(squares, nan=0, posinf=np.inf).max() + norms
+        room = np.where(np.isfinite(most), most * (1e-15 * (matrix.shape[1] + 16)), np.inf)
+        square = norms[:, None] + squares - 2 * (vectors @ matrix.T)
+        square[np.isnan(square)] = np.inf
+        square[ids == own[:, None]] = np.inf
+        limit = (radius * (1 + 1e-9)) ** 2
+        if square.shape[1] > k:
+            limit = np.minimum(limit, np.partition(square, k - 1, axis=1)[:, k - 1])
+        return np.nonzero((square <= (limit + 2 * room)[:, None]) & (ids != own[:, None]))
+
+
 def _best(k: int):
     """The k nearest references of each query of a task, within the query's radius; ties go to the smaller id."""
 
@@ -106,13 +126,18 @@ def _best(k: int):
         if len(queries) and len(references):
             ids, labels = references["r_id"].to_numpy(), references["r_label"].to_numpy()
             matrix = np.stack(references["r_vec"].to_numpy())
-            for q_id, vec, radius in zip(queries["q_id"].to_numpy(), queries["q_vec"].to_numpy(), queries["radius"].to_numpy()):
-                distance = np.sqrt(((matrix - vec) ** 2).sum(axis=1))
-                near = np.flatnonzero((distance <= radius) & (ids != q_id))
-                if len(near) > k:  # with all that tie with the k-th
-                    near = near[distance[near] <= np.partition(distance[near], k - 1)[k - 1]]
-                near = near[np.lexsort((ids[near], distance[near]))][:k]
-                out.append(pd.DataFrame({"q_id": q_id, "neighbour": ids[near], "distance": distance[near], "label": labels[near]}))
+            for at in range(0, len(queries), AT_ONCE):
+                some = queries.iloc[at : at + AT_ONCE]
+                vectors, own, radius = np.stack(some["q_vec"].to_numpy()), some["q_id"].to_numpy(), some["radius"].to_numpy()
+                query, ref = _near(vectors, radius, own, matrix, ids, k)
+                distance = np.sqrt(((matrix[ref] - vectors[query]) ** 2).sum(axis=1))
+                inside = distance <= radius[query]
+                query, ref, distance = query[inside], ref[inside], distance[inside]
+                order = np.lexsort((ids[ref], distance, query))
+                query, ref, distance = query[order], ref[order], distance[order]
+                best = np.arange(len(query)) - np.searchsorted(query, query) < k
+                query, ref, distance = query[best], ref[best], distance[best]
+                out.append(pd.DataFrame({"q_id": own[query], "neighbour": ids[ref], "distance": distance, "label": labels[ref]}))
         return pd.concat(out)
 
     return run
@@ -131,7 +156,9 @@ def _compared(visits: DataFrame, references: DataFrame, k: int) -> DataFrame:
 def _blocks(references: DataFrame, block_rows: int) -> tuple[np.ndarray, DataFrame, list]:
     """Pivots, the references with their cell and ring, and the bounds of all blocks."""
     total = references.count()
-    few = references.orderBy(F.xxhash64("r_id"), "r_id").limit(min(MOST_PIVOTS, int(np.ceil(np.sqrt(total))))).select("r_vec").collect()
+    # where bounds rule nothing out each query is copied to each block, so blocks are not smaller than they may be
+    wanted = min(MOST_PIVOTS, int(np.ceil(np.sqrt(total))), -(-total // block_rows))
+    few = references.orderBy(F.xxhash64("r_id"), "r_id").limit(wanted).select("r_vec").collect()
     pivots = np.array([r["r_vec"] for r in few], np.float64)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in references.schema.fields)
     placed = stored(references.mapInPandas(_placed(pivots), f"{kinds}, cell int, far double"), "neighbour-cells")
