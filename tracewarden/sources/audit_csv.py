@@ -26,6 +26,11 @@ from tracewarden.session import bounded_rows, stored
 # Line endings a failing log writer leaves.
 BAD_ENDINGS = ("Failed to write CSV record: short write", "CSV writer error: short write")
 
+#: Files that a task writes side by side when a log is partitioned.
+OPEN_FILES = 20
+#: Characters of lines that a task holds at once; a longer split is taken in chunks of whole lines, each a split of its own.
+CHUNK_CHARS = 4 << 20
+
 #: Different column orders among the files of one read.
 MOST_LAYOUTS = 1000
 
@@ -158,24 +163,37 @@ class _Split:
                     opened = True
 
 
-def _split_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task reads whole splits one after another; it holds the lines of one."""
-    place, lines = None, []
+def _as_batches(place: tuple[str, int], lines: list[str]) -> Iterator[pa.RecordBatch]:
+    rows = list(_Split(lines).pieces()) if lines else []
+    for at in range(0, len(rows), 5000):
+        some = [(*place, *r) for r in rows[at : at + 5000]]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), kinds)], names=["file", "block", "role", "needs", "seq", "text"])
+
+
+def _split_pieces(most: int):
+    """A task reads whole splits one after another; it holds the lines of one chunk of ``most`` characters.
+
+    A chunk is known by where it starts, one less than the characters before it: no more than the bytes before it, so
+    chunks of a split come after its start, in order, and before the next split.
+    """
 
-    def done() -> Iterator[pa.RecordBatch]:
-        rows = list(_Split(lines).pieces()) if lines else []
-        for at in range(0, len(rows), 5000):
-            some = [(*place, *r) for r in rows[at : at + 5000]]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), kinds)], names=["file", "block", "role", "needs", "seq", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, place, lines, before, held = None, ("", 0), [], 0, 0
+        for batch in batches:
+            for file, block, value in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value"))):
+                if (file, block) != split:
+                    yield from _as_batches(place, lines)
+                    split, place, lines, before, held = (file, block), (file, block), [], 0, 0
+                elif held >= most:
+                    yield from _as_batches(place, lines)
+                    before += held
+                    place, lines, held = (file, block + before - 1), [], 0
+                lines.append(value)
+                held += len(value) + 1
+        yield from _as_batches(place, lines)
 
-    for batch in batches:
-        for file, block, value in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value"))):
-            if (file, block) != place:
-                yield from done()
-                place, lines = (file, block), []
-            lines.append(value)
-    yield from done()
+    return run
 
 
 def _starts(splits: pd.DataFrame) -> pd.DataFrame:
@@ -200,7 +218,7 @@ def _starts(splits: pd.DataFrame) -> pd.DataFrame:
 
 def _records(lines: DataFrame) -> DataFrame:
     """Records of all files: file, block and seq (where one starts), text. The log is read once; empty lines are no records."""
-    pieces = stored(lines.select("file", "block", "value").mapInArrow(_split_pieces, _PIECES), "audit-csv-pieces")
+    pieces = stored(lines.select("file", "block", "value").mapInArrow(_split_pieces(CHUNK_CHARS), _PIECES), "audit-csv-pieces")
     splits = pieces.where("role = 'summary'").select("file", "block", "needs", "seq", "text")
     starts = splits.groupBy("file").applyInPandas(_starts, "file string, block long, start string, damaged boolean, owner long")
     placed = pieces.where("role != 'summary' and text != ''").join(starts, ["file", "block"])
