@@ -313,5 +313,15 @@ def write_audit_csv(df: DataFrame, base: str, started: str, partition_by: str |
         ]
     )
     writer = text.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"')
-    (writer.partitionBy(partition_by) if partition_by else writer).csv(path)
+    if not partition_by:
+        writer.csv(path)
+        return path
+    # a task keeps a file open for each of a few values instead of sorting its rows by value; with more values it sorts
+    conf, most = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(most)
+    conf.set(most, max(int(before), OPEN_FILES))
+    try:
+        writer.partitionBy(partition_by).csv(path)
+    finally:
+        conf.set(most, before)
     return path
