@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,3 +114,60 @@ def ngram_statistics(df: DataFrame, text: str, low: int, high: int) -> DataFrame
     """``(term, tf, df)`` of the character n-grams of a text column without nulls: occurrences, and rows that hold the term."""
     counted = df.select(F.col(text).alias("text")).mapInArrow(_counted(low, high), _COUNTS)
     return counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def _characters(order: str, table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Each character of the texts with its occurrences and the first of them: by ``order``, nulls first, then by place."""
+    table = table.take(pc.sort_indices(table, sort_keys=[(order, "ascending")], null_placement="at_start")).combine_chunks()
+    if not len(table):
+        return
+    texts, keys = table["text"].combine_chunks().cast(pa.large_binary()), table[order].combine_chunks()
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets, start = offsets - offsets[0], _starts(data)
+    if not len(data):
+        return
+    width, char = np.diff(start), np.zeros(len(start) - 1, np.int64)
+    for k in range(4):
+        has = width > k
+        char[has] = char[has] << 8 | data[start[:-1][has] + k]
+    row = np.searchsorted(offsets, start[:-1], "right") - 1
+    place = np.arange(len(char)) - np.searchsorted(start[:-1], offsets[:-1])[row]
+    # rows of one key are one row: the smallest place counts, in whichever of them it is
+    null = keys.is_null().to_numpy(zero_copy_only=False)
+    differs = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True).to_numpy(zero_copy_only=False) & ~(null[1:] & null[:-1])
+    key = np.append(0, np.cumsum(differs))[row]
+    by = np.argsort(char, kind="stable")
+    begin = np.flatnonzero(np.append(True, char[by][1:] != char[by][:-1]))
+    first = np.minimum.reduceat(key[by] << 32 | place[by], begin)
+    n = np.diff(np.append(begin, len(by)))
+    some = by[begin]
+    owner = pa.array(np.flatnonzero(np.append(True, differs))[first >> 32])
+    yield pa.record_batch(
+        [_texts(data, start[some], start[some + 1]), pa.array(n), keys.take(owner), pa.array((first & 0xFFFFFFFF).astype(np.int32))], ["ch", "n", "o", "p"]
+    )
+
+
+def _counted_characters(order: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= MOST_CHARS:
+                yield from _characters(order, pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from _characters(order, pa.Table.from_batches(held))
+
+    return run
+
+
+def character_statistics(df: DataFrame, text: str, order: str) -> DataFrame:
+    """``(ch, n, first)`` of the characters of a text column without nulls: occurrences, and the least (order, place from 0).
+
+    A batch of texts leaves its task as one row per distinct character.
+    """
+    kind = df.schema[order].dataType.simpleString()
+    counted = df.select(F.col(text).alias("text"), F.col(order).alias("o")).mapInArrow(_counted_characters("o"), f"ch string, n long, o {kind}, p int")
+    return counted.groupBy("ch").agg(F.sum("n").alias("n"), F.min(F.struct("o", "p")).alias("first"))

@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from tracewarden.config import FeatureConfig
 from tracewarden.operators import codes
 from tracewarden.operators.cleaning import fill_defaults
-from tracewarden.operators.ngram_counts import ngram_statistics
+from tracewarden.operators.ngram_counts import character_statistics, ngram_statistics
+from tracewarden.operators.ranking import block_count
 from tracewarden.session import bounded_rows
 
 MAX_CATEGORIES = 100_000
 MAX_CHARS = 200_000
+#: Characters of the texts whose n-grams a task counts by row.
+TASK_CHARS = 1 << 20
 
 
 def squeezed(text: Column) -> Column:
@@ -67,9 +70,25 @@ def with_terms(df: DataFrame, text: str, out: str, low: int, high: int, analyzer
     return df.withColumn(out, words(F.col(text)) if analyzer == "word" else char_ngrams(F.col(text), low, high))
 
 
+def each_term(terms: str) -> Column:
+    """A row per term. The array is no plain column here: of one, Spark infers a filter on its size, which it moves below the
+    step that deals rows to tasks, with all the work that makes the array, to be done a second time by the few tasks that read."""
+    return F.explode(F.coalesce(F.col(terms), F.array().cast("array<string>")))
+
+
+def term_counts(df: DataFrame, text: str, terms: str, low: int, high: int) -> DataFrame:
+    """``df`` with the terms of a text column, for counts by row: rows with the same columns but ``text`` meet before the terms
+    are made, TASK_CHARS characters a task, so a task holds the counts of few texts and terms need no shuffle of their own."""
+    keys = [c for c in df.columns if c != text]
+    chars_in = df.agg(F.sum(F.length(text))).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, block_count(chars_in, TASK_CHARS))
+    dealt = with_terms(df.repartition(tasks, *keys), text, terms, low, high)
+    return dealt.select(*keys, each_term(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+
+
 def top_terms(df: DataFrame, terms: str, k: int) -> DataFrame:
     """The k most frequent terms ``(term, tf)``, ties by term. Counts are formed before the shuffle; the order is a top-k."""
-    counted = df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    counted = df.select(each_term(terms).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
     return counted.orderBy(F.desc("tf"), "term").limit(k)
 
 
@@ -190,8 +209,7 @@ def label_encode(df: DataFrame, column: str, out: str | None = None) -> DataFram
 
 def char_vocabulary(df: DataFrame, text: str, order: str) -> DataFrame:
     """``(ch, n, id)`` by falling frequency, ties by first appearance; ids start at 2 (0 padding, 1 unknown)."""
-    spread = df.select(order, F.posexplode(chars(F.lower(F.coalesce(text, F.lit(""))))).alias("pos", "ch"))
-    counted = spread.groupBy("ch").agg(F.count("*").alias("n"), F.min(F.struct(F.col(order).alias("o"), F.col("pos").alias("p"))).alias("first"))
+    counted = character_statistics(df.select(F.lower(F.coalesce(text, F.lit(""))).alias("text"), order), "text", order)
     ranked = Window.orderBy(F.desc("n"), "first")  # one row per distinct character
     return counted.select("ch", "n", (F.row_number().over(ranked) + 1).cast("int").alias("id"))
 

@@ -41,7 +41,7 @@ def _grams(spark, sf_dir, longest=6):
 
 @register("d1_char_ngrams", _grams_cte(3) + "SELECT row_id, term, count(*) AS n FROM grams GROUP BY ALL")
 def d1(spark, sf_dir):
-    return _grams(spark, sf_dir, 3).select("row_id", F.explode("terms").alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("n"))
+    return text_features.term_counts(views.view(spark, sf_dir, "dialog").select("row_id", "text"), "text", "terms", 1, 3)
 
 
 _TOP = f"vocab AS (SELECT term, count(*) AS tf FROM grams GROUP BY term ORDER BY tf DESC, term LIMIT {_TERMS})"
@@ -75,7 +75,7 @@ SELECT term, count(*) AS tf, count(DISTINCT row_id) AS df FROM w GROUP BY term""
 )
 def d2_words(spark, sf_dir):
     rows = text_features.with_terms(views.spread(views.view(spark, sf_dir, "dialog")), "text", "terms", 1, 1, "word")
-    once = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    once = rows.select(text_features.each_term("terms").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
     freq = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return once.join(freq, "term")
 
